@@ -16,6 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retrolens.lineage import cut
+
 
 def _kind(v: Any) -> str:
     if isinstance(v, bool):
@@ -233,7 +235,7 @@ def islands_dealt(rows: DataFrame, by: list[str], parts: int) -> DataFrame:
     part finds its running maximum, and only each part's top end and number of
     islands are carried on to the next (``parts`` rows a key)."""
     dealt = rows.repartitionByRange(parts, *by, F.col("lo").asc_nulls_first(), F.col("lo_closed").desc(), F.col("hi").asc_nulls_last())
-    dealt = dealt.withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = cut(dealt.withColumn("_part", F.spark_partition_id()))
     top = F.max(F.struct(F.col("hi").isNull().alias("open"), F.col("hi"), F.col("hi_closed")))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     tops = dealt.groupBy(*by, "_part").agg(top.alias("_top")).withColumn("_carry", F.max("_top").over(earlier)).drop("_top")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrolens.functions.intervals import islands, islands_dealt
+from retrolens.lineage import cut
 
 
 def point_clusters(items: DataFrame) -> DataFrame:
@@ -34,14 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
     several keys together. Minimum labels along edges, halved by following
     labels of labels, until nothing changes."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = both.checkpoint()
+    both = cut(both)
     label = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     mark = None
     while True:
         near = both.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
         label = label.join(near, "node").select("node", F.least("root", "r").alias("root"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        label = label.join(jump, "root").select("node", F.col("next").alias("root")).checkpoint()
+        label = cut(label.join(jump, "root").select("node", F.col("next").alias("root")))
         now = label.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root"))).first()
         if now == mark:
             break

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retrolens.lineage import cut
+
 
 def with_epochs(accesses: DataFrame, key: list[str]) -> DataFrame:
     """One row per (key, gid) with reads, writes, the number of writes before it
@@ -47,16 +49,16 @@ def key_levels(accesses: DataFrame, key: list[str]) -> DataFrame:
 def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(gid, level): the longest chain of edges that ends at each node, frontier
     by frontier; as many rounds as the longest chain."""
-    done = nodes.select("gid").join(links.select(F.col("dst").alias("gid")), "gid", "left_anti").withColumn("level", F.lit(0)).checkpoint()
-    rest = nodes.select("gid").join(done, "gid", "left_anti").checkpoint()
+    done = cut(nodes.select("gid").join(links.select(F.col("dst").alias("gid")), "gid", "left_anti").withColumn("level", F.lit(0)))
+    rest = cut(nodes.select("gid").join(done, "gid", "left_anti"))
     level = 0
     while not rest.isEmpty():
         waits = links.join(rest.select(F.col("gid").alias("src")), "src", "left_semi").select(F.col("dst").alias("gid")).distinct()
         level += 1
-        ready = rest.join(waits, "gid", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        ready = cut(rest.join(waits, "gid", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             raise ValueError("the edges have a cycle")
-        done, rest = done.union(ready).checkpoint(), rest.join(ready, "gid", "left_anti").checkpoint()
+        done, rest = cut(done.union(ready)), cut(rest.join(ready, "gid", "left_anti"))
     return done
 
 

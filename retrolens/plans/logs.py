@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retrolens.functions import intervals as iv
+from retrolens.lineage import scratch
 from retrolens.operators import access, cluster, conflict, depend, diff, replay, statehash
 from retrolens.operators import relations as rel
 from retrolens.sources import statelog
@@ -410,18 +411,10 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("done").drop("done")
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named or 'file://' + tempfile.gettempdir()}/retrolens-{uuid.uuid4().hex}"
-
-
 @query("a6_log_scan", "SELECT event_id AS gid, user_id AS key, event_type AS op FROM events")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as a log, sorted by gid, and scanned."""
-    place = _scratch(spark)
+    place = scratch(spark)
     statelog.write(log(spark, sf_dir), place)
     return statelog.read(spark, place).select("gid", "key", "op")
 
@@ -433,7 +426,7 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a8_cluster_load", f"WITH {ACCESS_SQL} SELECT 'users.id' AS \"column\", key AS value, rw, count(*) AS n, min(gid) AS first_gid, max(gid) AS last_gid FROM acc GROUP BY ALL")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _scratch(spark)
+    place = scratch(spark)
     items = accesses(spark, sf_dir).select("gid", "rw", F.lit("users.id").alias("column"), F.col("key").alias("value"))
     cluster.point_clusters(items).write.parquet(place)
     return spark.read.parquet(place)
@@ -457,7 +450,7 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b4_replay_plan", f"{DECIDE_SQL} SELECT gid FROM plan WHERE replay")
 def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _scratch(spark)
+    place = scratch(spark)
     decision(spark, sf_dir).where("replay").select("gid").write.parquet(place)
     return spark.read.parquet(place)
 
@@ -557,7 +550,6 @@ def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c13_islands", f"{ISLAND_SQL} SELECT s AS \"column\", CAST(island AS BIGINT) AS island, count(*) AS n FROM i GROUP BY ALL")
 def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by ranges of the key, so no task holds a whole column."""
-    spark.sparkContext.setCheckpointDir(_scratch(spark))
     dealt = iv.islands_dealt(order_spans(spark, sf_dir).drop("gid").distinct(), ["column"], 4)
     return dealt.groupBy("column", "island").agg(F.count(F.lit(1)).alias("n"))
 
@@ -817,7 +809,6 @@ b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT
 
 @query("g3_transitive_merge", f"{COMPONENT_SQL} SELECT n AS node, min(m) AS root FROM r GROUP BY 1")
 def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.sparkContext.setCheckpointDir(_scratch(spark))
     li = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 3")
     return cluster.components(li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 40 + 1000000).alias("b")).distinct())
 
@@ -912,7 +903,6 @@ _EDGES = [(0, 1), (1, 2), (0, 3), (3, 2), (2, 5), (4, 5)]
 
 @query("h7_levels", values_sql([(0, 0), (1, 1), (2, 2), (3, 1), (4, 0), (5, 3), (6, 0)], "gid, level"))
 def h7l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.sparkContext.setCheckpointDir(_scratch(spark))
     nodes = rows(spark, [(i,) for i in range(7)], "gid long")
     return conflict.levels(nodes, rows(spark, _EDGES, "src long, dst long")).select("gid", F.col("level").cast("long").alias("level"))
 

@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retrolens.lineage import scratch
 from retrolens.operators import statehash
 from retrolens.sources import binlog, statelog
 from retrolens.streaming import assemble
 
-from .logs import SQL, _scratch, log, query, table
+from .logs import SQL, log, query, table
 
 _COLUMNS = [("id", "LONGLONG"), ("op", "VARCHAR"), ("cents", "LONGLONG")]
 
@@ -47,7 +48,7 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m1_log_tailing", "SELECT event_id, user_id, event_type FROM events")
 def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, place = _scratch(spark), _scratch(spark)
+    src, place = scratch(spark), scratch(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     rows.write.parquet(src)
     assemble.run_once(assemble.tail(spark, src, rows.schema), f"{place}/out", f"{place}/state")
@@ -57,7 +58,7 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m2_stateful_assembly", SQL["a5_transaction_assembly"])
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions assembled by a stateful operator, in two batches."""
-    src, place = _scratch(spark), _scratch(spark)
+    src, place = scratch(spark), scratch(spark)
     rows = log(spark, sf_dir).select("key", "gid", "op", (F.col("op") == "purchase").alias("is_last"))
     half = rows.agg(F.max("gid")).first()[0] // 2
     rows.where(F.col("gid") <= half).coalesce(1).write.parquet(src)
@@ -69,7 +70,7 @@ def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m3_ordered_output", "SELECT event_id, event_type FROM events")
 def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, place = _scratch(spark), _scratch(spark)
+    src, place = scratch(spark), scratch(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
     rows.write.parquet(src)
     assemble.run_in_order(assemble.tail(spark, src, rows.schema), f"{place}/out", f"{place}/state", "event_id")
@@ -78,7 +79,7 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m6_running_hash", "SELECT event_type, count(*) AS n, CAST(CAST(sum((('0x' || substr(md5(concat_ws(chr(31), CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR))), 1, 15))::BIGINT)::DECIMAL(38, 0)) AS DECIMAL(38, 0)) AS VARCHAR) AS digest FROM events GROUP BY 1")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, state = _scratch(spark), _scratch(spark)
+    src, state = scratch(spark), scratch(spark)
     rows = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
     rows.write.parquet(src)
     stream = assemble.running_digest(assemble.tail(spark, src, rows.schema), statehash.row_digest([F.col("user_id"), F.col("event_id")]), "event_type")

@@ -88,10 +88,8 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k12_null_safe_equal", "SELECT count(*) AS n FROM events a JOIN events b ON a.event_id + 1 = b.event_id AND nullif(a.event_type, 'error') IS NOT DISTINCT FROM nullif(b.event_type, 'error')")
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy(F.floor(C("event_id") / 1000)).orderBy("event_id")
     e = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("error")).alias("t"))
     a, b = e.select((C("event_id") + 1).alias("id"), C("t").alias("x")), e.select(C("event_id").alias("id"), "t")
-    del w
     return a.join(b, "id").where(fn.null_safe_equal(C("x"), C("t"))).agg(F.count(F.lit(1)).alias("n"))
 
 
