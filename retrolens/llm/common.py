@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy chunk holds at most, a longer document alone excepted.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd 64-bit base and of its inverse modulo 2**64."""
     base, inverse = int(_MULT), pow(int(_MULT), -1, 1 << 64)
@@ -66,7 +66,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     ``values``: uint64, one well-mixed number a symbol. Equal spans have equal
     hashes wherever they stand; the length enters the last mix."""
     n = len(values)
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(20, (max(n, 1) - 1).bit_length())
     up, down = _powers(size)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0

@@ -53,7 +53,7 @@ from .common import _MIX_A, BYTE_VALUE, byte_words, chunks, cut, mix, shared_dir
 K = 5
 HOT_WORDS = 1 << 17
 #: Text bytes of a batch, and tokens that a bucket is to hold about.
-BATCH_BYTES, BUCKET_TOKENS = 1 << 24, 3_000_000
+BATCH_BYTES, BUCKET_TOKENS = 1 << 23, 2_000_000
 END, BEGIN = np.uint64(0x7E57_E4D0_0000_0001), np.uint64(1 << 62)
 _RARE = np.uint64(1 << 63)
 
