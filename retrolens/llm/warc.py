@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RECORDS_A_FILE = 6_000
 #: The times of synthetic captures and the hexadecimal digits of base32's letters.
 CAPTURED_AT = "2020-01-01T00:00:00Z"
@@ -73,12 +75,14 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
 def captures(pages: DataFrame, min_revisit_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A row per page with the decision: response or revisit, and of which page."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html").cast("long"))
-    last = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last_id"))
-    # small rows are joined by payload; the pages themselves are only joined by their own ids
-    revisits = rows.select("page_id", "digest", "size").join(last, "digest").where((F.col("size") >= min_revisit_bytes) & (F.col("page_id") < F.col("last_id")))
-    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "last_id").distinct()
-    return rows.join(revisits, (rows["page_id"] == revisits["_page"]) & (rows["digest"] == revisits["_digest"]), "left").drop("_page", "_digest")
+    rows = rows.withColumn("mark", F.xxhash64("html")).withColumn("size", F.octet_length("html").cast("long"))
+    # payloads are hashed once; pages with one id and one payload are the same capture
+    known = cut(rows.select("page_id", "mark", base32_sha1(F.col("html")).alias("digest"), "size").distinct())
+    last = known.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last_id"))
+    # small rows are joined by payload; the pages themselves only by their own ids
+    revisit = (F.col("size") >= min_revisit_bytes) & (F.col("page_id") < F.col("last_id"))
+    decided = known.join(last, "digest", "left").select(F.col("page_id").alias("_page"), F.col("mark").alias("_mark"), "digest", F.when(revisit, F.col("last_id")).alias("last_id"))
+    return rows.join(decided, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("mark") == F.col("_mark"))).drop("_page", "_mark", "mark")
 
 
 def records(decided: DataFrame) -> DataFrame:
