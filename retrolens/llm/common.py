@@ -3,41 +3,37 @@ folder, bounded batching of Arrow rows and vectorised word hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+
+from retrolens.lineage import cut, shared_dir
+
+__all__ = ["CHUNK_BYTES", "byte_words", "chunks", "cut", "mix", "release", "shared_dir", "span_hashes"]
 
 #: Bytes of text that one numpy chunk holds at most, a longer document alone excepted.
 CHUNK_BYTES = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # not glibc
+    _LIBC = None
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: what the cluster names in spark.checkpoint.dir;
-    a temporary one only where the setting is missing, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="retrolens-")
-        spark.sparkContext.setCheckpointDir(held)
-    return held
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder (never localCheckpoint: an executor may go)."""
-    spark = df.sparkSession
-    place = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
+def release() -> None:
+    """Give freed memory back to the system, which an allocator else keeps: large
+    arrays come and go, and a worker's next stage may need none."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

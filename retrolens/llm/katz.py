@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MIX_A, BYTE_VALUE, byte_words, chunks, cut, mix, shared_dir, span_hashes
+from .common import _MIX_A, BYTE_VALUE, byte_words, chunks, cut, mix, release, shared_dir, span_hashes
 
 #: Counts up to K are discounted by Good-Turing.
 K = 5
@@ -151,6 +151,8 @@ def _word_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, of, n = np.unique(tokens, return_inverse=True, return_counts=True)
         trained = np.bincount(of[np.repeat(train, per_doc)], minlength=len(word))
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(trained.astype(np.int64))], names=["word", "n", "trained"])
+        del tokens, word, of, n, trained
+        release()
 
 
 @dataclass(frozen=True)
@@ -218,6 +220,8 @@ def _requests(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 run_ = np.diff(np.append(first, cuts[b + 1] - cuts[b])).astype(np.uint32)
                 rows.append((int(b), _batch_id(number), pack(np.diff(w[s][first], prepend=np.uint64(0)), run_, h[s], trained[s])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "batch", "blob"])
+            del tokens, bucket, w, h, pair_of, trained, rows
+            release()
 
     return run
 
@@ -234,6 +238,7 @@ def _answers(shared: object, p_discount: Discount, total: int, history_buckets:
     """Count the pairs of a bucket and answer every batch that asked."""
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         plan: Plan = shared.value
         batches = group.column("batch").to_pylist()
         parts = [_asked(x.as_py()) for x in group.column("blob")]
@@ -316,6 +321,8 @@ def _posts(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             blob = pack(pair_of.astype(np.uint32), per_doc.astype(np.int64), train.astype(np.uint8), known.astype(np.uint8), ids.fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([_batch_id(number)], pa.int64()), pa.array([_mark(w, h)], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "mark", "blob"])
+            del tokens, w, h, pair_of, blob
+            release()
 
     return run
 
@@ -328,6 +335,7 @@ def _evaluate(shared: object, alphas: object, words: Discount, pairs: Discount,
     histories are left to a join."""
 
     def run(post: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         if len(post) != 1 or sum(answers.column("mark").to_pylist()) % (1 << 64) != post.column("mark")[0].as_py() % (1 << 64):
             raise ValueError("the documents came in another order when read again; write them to a table first")
         pair_of, per_doc, train, known_id, ids = unpack(post.column("blob")[0].as_py())
