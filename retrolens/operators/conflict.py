@@ -7,25 +7,27 @@ the next write waits for all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrolens.lineage import cut
 
+from .running import before
 
-def with_epochs(accesses: DataFrame, key: list[str]) -> DataFrame:
+
+def with_epochs(accesses: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """One row per (key, gid) with reads, writes, the number of writes before it
-    (epoch) and the gid of the last of them (writer)."""
+    (epoch), the gid of the last of them (writer) and whether the access just
+    before it wrote (after_write). A hot key is dealt over many tasks."""
     one = accesses.groupBy(*key, "gid").agg(F.bool_or(F.col("rw") == "R").alias("reads"), F.bool_or(F.col("rw") == "W").alias("writes"))
-    before = Window.partitionBy(*key).orderBy("gid").rowsBetween(Window.unboundedPreceding, -1)
     wrote = F.when(F.col("writes"), F.col("gid"))
-    return one.withColumn("epoch", F.count(wrote).over(before)).withColumn("writer", F.last(wrote, ignorenulls=True).over(before))
+    return before(one, key, ["gid"], {"epoch": ("count", wrote), "writer": ("last", wrote), "after_write": ("last", F.col("writes"))}, parts)
 
 
-def edges(accesses: DataFrame, key: list[str]) -> DataFrame:
+def edges(accesses: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """(src, dst): transactions of which the first must precede the second;
     ``accesses``: (gid, rw, *key), equality of keys."""
-    e = with_epochs(accesses, key)
+    e = with_epochs(accesses, key, parts)
     after_write = e.where("writer IS NOT NULL").select(F.col("writer").alias("src"), F.col("gid").alias("dst"))
     readers = e.where("reads AND NOT writes").select(*key, "epoch", F.col("gid").alias("src"))
     writers = e.where("writes").select(*key, "epoch", F.col("gid").alias("dst"))
@@ -33,17 +35,14 @@ def edges(accesses: DataFrame, key: list[str]) -> DataFrame:
     return after_write.union(before_write).distinct()
 
 
-def key_levels(accesses: DataFrame, key: list[str]) -> DataFrame:
+def key_levels(accesses: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """(*key, gid, level) where each transaction touches one key: all reads of an
     epoch share a level, each write has its own. No iteration is needed."""
-    e = with_epochs(accesses, key)
-    w = Window.partitionBy(*key).orderBy("gid")
-    # a level begins at a write, and at the first read after a write
-    first_read = ~F.col("writes") & F.coalesce(F.lag("writes").over(w), F.lit(False))
-    starts = F.when(F.col("writes") | first_read, 1).otherwise(0)
-    first = F.row_number().over(w) == 1
-    step = e.withColumn("_s", F.when(first, 0).otherwise(starts))
-    return step.withColumn("level", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*key, "gid", "level")
+    e = with_epochs(accesses, key, parts)
+    # a level begins at a write, and at the first read after a write; not at a key's first access
+    starts = F.when(F.col("after_write").isNotNull() & (F.col("writes") | F.col("after_write")), 1).otherwise(0)
+    step = e.select(*key, "gid", starts.alias("starts"))
+    return before(step, key, ["gid"], {"so_far": ("sum", F.col("starts"))}, parts).select(*key, "gid", (F.coalesce("so_far", F.lit(0)) + F.col("starts")).alias("level"))
 
 
 def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ class Tables:
             return []
         if dml.kind in ("INSERT", "REPLACE"):
             for values in dml.rows or (dml.values,):
-                row = {c.lower(): worth(v, {}) for c, v in values.items()}
+                row = {c.split(".")[-1].lower(): worth(v, {}) for c, v in values.items()}
                 if (key := self.auto.get(dml.table.lower())) and row.get(key) is None:
                     row[key] = self.last_insert_id = self.next_id.get(dml.table, 0) + 1
                     self.next_id[dml.table] = row[key]
@@ -61,7 +61,7 @@ class Tables:
         elif dml.kind == "UPDATE":
             for row in rows:
                 if on(row):
-                    row.update({c.lower(): worth(v, row) for c, v in dml.values.items()})
+                    row.update({c.split(".")[-1].lower(): worth(v, row) for c, v in dml.values.items()})
         elif dml.kind == "DELETE":
             self.rows[dml.table.lower()] = [row for row in rows if not on(row)]
         else:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import before
+
 
 def normal(name: str) -> str:
     return name.strip().strip("`").replace("`", "").lower()
@@ -83,16 +85,15 @@ def row_aliases(writes: DataFrame, alias: str, real: str) -> DataFrame:
     return a.join(r, "gid").select("alias_value", "real_value", "gid")
 
 
-def resolve_row_aliases(items: DataFrame, learnt: DataFrame) -> DataFrame:
+def resolve_row_aliases(items: DataFrame, learnt: DataFrame, parts: int | None = None) -> DataFrame:
     """``items`` (gid, value) with real_value as of their gid: what the last
     transaction before, or the same, said of the alias. A union in order and a
     running last value; no item meets more than one definition."""
-    both = items.select("gid", "value", F.lit(None).cast(learnt.schema["real_value"].dataType).alias("real_value"), F.lit(1).alias("_is_item")).unionByName(
-        learnt.select("gid", F.col("alias_value").alias("value"), "real_value", F.lit(0).alias("_is_item"))
-    )
-    w = Window.partitionBy("value").orderBy("gid", "_is_item").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("real_value", F.last("real_value", ignorenulls=True).over(w))
-    return found.where("_is_item = 1").select("gid", "value", F.coalesce(F.col("real_value"), F.col("value").cast(learnt.schema["real_value"].dataType)).alias("real_value"))
+    kind = learnt.schema["real_value"].dataType
+    said = learnt.select("gid", F.col("alias_value").alias("value"), "real_value", F.lit(0).alias("_is_item"))
+    both = items.select("gid", "value", F.lit(None).cast(kind).alias("real_value"), F.lit(1).alias("_is_item")).unionByName(said)
+    found = before(both, ["value"], ["gid", "_is_item"], {"known": ("last", F.col("real_value"))}, parts)
+    return found.where("_is_item = 1").select("gid", "value", F.coalesce(F.col("known"), F.col("value").cast(kind)).alias("real_value"))
 
 
 def coerced(value: Column) -> Column:
@@ -100,9 +101,9 @@ def coerced(value: Column) -> Column:
     return value.try_cast("bigint")
 
 
-def name_as_of(names: DataFrame, asked: DataFrame) -> DataFrame:
+def name_as_of(names: DataFrame, asked: DataFrame, parts: int | None = None) -> DataFrame:
     """``asked`` (table_id, gid) with the name valid then, from ``names``
     (table_id, valid_from, name)."""
     both = asked.select("table_id", "gid", F.lit(None).cast("string").alias("name"), F.lit(1).alias("_asks")).unionByName(names.select("table_id", F.col("valid_from").alias("gid"), "name", F.lit(0).alias("_asks")))
-    w = Window.partitionBy("table_id").orderBy("gid", "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("name", F.last("name", ignorenulls=True).over(w)).where("_asks = 1").select("table_id", "gid", "name")
+    found = before(both, ["table_id"], ["gid", "_asks"], {"known": ("last", F.col("name"))}, parts)
+    return found.where("_asks = 1").select("table_id", "gid", F.col("known").alias("name"))

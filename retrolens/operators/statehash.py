@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import before
+
 PRIME = 2**61 - 1
 
 
@@ -32,11 +34,13 @@ def table_digest(rows: DataFrame, columns: list[str], sign: Column | None = None
     return rows.groupBy(*(by or [])).agg(F.sum(sign).cast("long").alias("n"), total(0).alias("digest_a"), total(1).alias("digest_b"))
 
 
-def timeline(log: DataFrame, columns: list[str], by: str, sign: Column) -> DataFrame:
+def timeline(log: DataFrame, columns: list[str], by: str, sign: Column, parts: int | None = None) -> DataFrame:
     """(by, gid, digest): the digest after each write to each table."""
     per = log.groupBy(by, "gid").agg(F.sum(row_digest([F.col(c) for c in columns]) * sign).alias("d"))
-    w = Window.partitionBy(by).orderBy("gid").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(by, "gid", F.pmod(F.sum("d").over(w), F.lit(PRIME).cast("decimal(38,0)")).cast("decimal(38,0)").alias("digest"))
+    prime = F.lit(PRIME).cast("decimal(38,0)")
+    per = per.withColumn("d", F.pmod("d", prime).cast("decimal(38,0)"))
+    so_far = before(per, [by], ["gid"], {"so_far": ("sum", F.col("d"))}, parts)
+    return so_far.select(by, "gid", F.pmod(F.coalesce(F.col("so_far"), F.lit(0)) + F.col("d"), prime).cast("decimal(38,0)").alias("digest"))
 
 
 def hash_jump(original: DataFrame, changed: DataFrame, by: str, first: int) -> DataFrame:

@@ -324,3 +324,24 @@ def test_config():
     for bad in ("", "[]", "{", good.replace('"a.b"', ""), good.replace('"name": "l"', ""), good.replace('"d"', '""')):
         assert config.loads(bad, {}) is None
     assert config.load("/no/such/file") is None
+
+
+# ---- running aggregates ----
+
+
+@pytest.mark.parametrize("parts", [0, 5])
+def test_running_aggregates_with_a_hot_key(spark, parts):
+    from retrolens.operators.running import before
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice([None, 1, 2, 5])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k string, gid long, v long").repartition(3)
+    got = before(frame, ["k"], ["gid"], {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "l": ("last", F.col("v"))}, parts).collect()
+    held = {}
+    want = {}
+    for k, i, v in rows:
+        seen = held.setdefault(k, [])
+        want[i] = (len(seen), sum(seen) if seen else None, seen[-1] if seen else None)
+        if v is not None:
+            seen.append(v)
+    assert {r.gid: (r.n, r.s, r.l) for r in got} == want
