@@ -36,9 +36,13 @@ def bound(value: object, kind: str) -> Column:
     return F.lit(value).cast(kind)
 
 
+# The generator's factor, increment and modulus.
+LCG_FACTOR, LCG_STEP, LCG_MODULUS = 1103515245, 12345, 2147483648
+
+
 def linear_congruence(seed: Column) -> Column:
     """The next number of the generator that stored functions draw from."""
-    return ((seed * 1103515245 + 12345) % 2147483648).cast("long")
+    return ((seed * LCG_FACTOR + LCG_STEP) % LCG_MODULUS).cast("long")
 
 
 def random_number(seed: Column, low: int, high: int) -> Column:

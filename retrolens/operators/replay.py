@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retrolens.functions.scalar import linear_congruence
+
 
 def kept(log: DataFrame, removed: list[int], added: DataFrame | None = None) -> DataFrame:
     """The changed history: ``log`` without the removed gids, with the added
@@ -102,7 +104,7 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 def pinned(context: DataFrame) -> Column:
     """A recorded random draw: a linear congruence from the recorded seed, so a
     replay draws what the original drew. ``context`` has rand_seed."""
-    return ((context["rand_seed"] * 1103515245 + 12345) % 2147483648).cast("long")
+    return linear_congruence(context["rand_seed"])
 
 
 def replace_statements(targets: list[dict[str, Any]], groups: list[tuple[list[str], bool]], database: str, derived: str) -> list[str]:

@@ -90,3 +90,20 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{state}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("event_type", "n", F.col("digest").cast("string").alias("digest"))
+
+
+@query("m4_event_time_windows", "SELECT CAST(time_bucket(INTERVAL '6 hours', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows by event time, with a watermark, in complete mode."""
+    src, state = scratch(spark), scratch(spark)
+    rows = table(spark, sf_dir, "events").select("ts", "event_type")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(src)
+    seen = assemble.tail(spark, src, rows.schema).withWatermark("ts", "1 hour").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    out = f"{state}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("window.start").alias("start"), "event_type", "n").write.mode("overwrite").parquet(out)
+
+    seen.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{state}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

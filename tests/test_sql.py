@@ -89,4 +89,9 @@ def test_user_transaction():
     assert [d.kind for d in made] == ["UPDATE", "DELETE"]
     with pytest.raises(sql.SyntaxFault):
         sql.parse_script("DROP TABLE t")
+    for cut in range(len(SCRIPT)):  # no text makes the parser run on
+        try:
+            sql.procedures(SCRIPT[:cut])
+        except sql.SyntaxFault:
+            pass
     assert sql.normal_form("SELECT  `A` FROM t\nWHERE x='1' AND y = 2") == "select a from t where x = ? and y = ?"
