@@ -45,7 +45,8 @@ def by_transaction(columns: DataFrame) -> DataFrame:
 
 
 def earliest_taint(log: DataFrame, targets: list[int], relations: Relations, row_matched: DataFrame | None = None, extra_writes: dict[str, int] | None = None) -> dict[str, int]:
-    """The first gid at which each column is tainted. ``log``: by_transaction();
+    """The first gid at which each column is tainted. ``log``: by_transaction(),
+    materialised, since each round reads it;
     ``row_matched``: gids that depend by rows, which taint what they write;
     ``extra_writes``: columns tainted by added transactions."""
     names = {c for r in log.select(F.explode("touched").alias("c")).distinct().collect() for c in (r.c,)} | set(extra_writes or ())

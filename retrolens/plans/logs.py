@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retrolens.functions import intervals as iv
-from retrolens.lineage import scratch
+from retrolens.lineage import cut, scratch
 from retrolens.operators import access, cluster, conflict, depend, diff, replay, statehash
 from retrolens.operators import relations as rel
 from retrolens.sources import statelog
@@ -60,6 +60,11 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).join(policy(spark), "op").select("gid", "rw", "column")
 
 
+def by_gid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per transaction, materialised: each round of the taint reads it."""
+    return cut(depend.by_transaction(columns(spark, sf_dir)))
+
+
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gid, rw, key): signup, click and purchase write their user's row, view
     and error read it."""
@@ -143,7 +148,7 @@ first AS (SELECT c, min(g) AS g FROM taint GROUP BY 1)"""
 
 @query("j2_column_taint", f"WITH RECURSIVE {TAINT_SQL} SELECT c AS \"column\", g AS first_gid FROM first")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taint = depend.earliest_taint(depend.by_transaction(columns(spark, sf_dir)), TARGETS, RELATIONS)
+    taint = depend.earliest_taint(by_gid(spark, sf_dir), TARGETS, RELATIONS)
     return rows(spark, sorted(taint.items()), "column string, first_gid long")
 
 
@@ -164,7 +169,7 @@ plan AS (SELECT *, CASE WHEN has_key THEN row_match ELSE column_dependent END AS
 
 
 def decision(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
-    by = depend.by_transaction(columns(spark, sf_dir))
+    by = by_gid(spark, sf_dir)
     taint = depend.earliest_taint(by, TARGETS, RELATIONS)
     keyed = log(spark, sf_dir).where("op <> 'error'").select("gid")
     return depend.decide(by, keyed, depend.row_matched(accesses(spark, sf_dir), TARGETS, ["key"]), taint, RELATIONS, TARGETS, strict)
@@ -868,7 +873,7 @@ def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h3_running_taint", f"WITH RECURSIVE {TAINT_SQL} SELECT event_id AS gid, (SELECT count(*) FROM first WHERE g <= event_id) AS tainted FROM events")
 def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many columns are tainted after each transaction."""
-    taint = depend.earliest_taint(depend.by_transaction(columns(spark, sf_dir)), TARGETS, RELATIONS)
+    taint = depend.earliest_taint(by_gid(spark, sf_dir), TARGETS, RELATIONS)
     tainted = sum((F.col("gid") >= g).cast("long") for g in taint.values())
     return log(spark, sf_dir).select("gid", tainted.alias("tainted"))
 

@@ -13,7 +13,7 @@ from retrolens.operators import access, cluster, depend, executor, replay
 from retrolens.operators import relations as rel
 from retrolens.sources import sql, statelog
 
-from .logs import ACCESS_SQL, DECIDE_SQL, RELATIONS, TARGETS, TAINT_SQL, accesses, columns, decision, log, query, rows, table, user_state, values_sql
+from .logs import ACCESS_SQL, DECIDE_SQL, RELATIONS, TARGETS, TAINT_SQL, accesses, by_gid, decision, log, query, rows, table, user_state, values_sql
 
 #: A small shop: its procedures, and the calls of its log.
 SHOP_SCRIPT = """
@@ -203,7 +203,7 @@ def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j2_taint_rounds", f"WITH RECURSIVE {TAINT_SQL} SELECT count(*) AS columns, min(g) AS first_gid, max(g) AS last_gid FROM first")
 def j2r(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taint = depend.earliest_taint(depend.by_transaction(columns(spark, sf_dir)), TARGETS, RELATIONS)
+    taint = depend.earliest_taint(by_gid(spark, sf_dir), TARGETS, RELATIONS)
     return rows(spark, [(len(taint), min(taint.values()), max(taint.values()))], "columns long, first_gid long, last_gid long")
 
 
