@@ -128,7 +128,7 @@ def assemble(roles: pa.Array, texts: pa.Array, firsts: np.ndarray) -> tuple[pa.A
     return strings, spoken, start, end
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[pa.Table]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows regrouped so that no conversation spans two tables."""
     held: list[pa.Table] = []
     for batch in batches:
@@ -200,3 +200,26 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_back(formatted: DataFrame) -> DataFrame:
     """What formatted conversations say, parsed from the strings and loss spans alone."""
     return formatted.mapInArrow(_read_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def oracle_sql(added: list[tuple[int, int, str, str]]) -> str:
+    """read_back() of all conversations and the added rows, for DuckDB."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def escaped(c: str) -> str:
+        c = f"replace({c}, {quote(chr(92))}, {quote(chr(92) * 2)})"
+        for mark in CONTROL:
+            c = f"replace({c}, {quote(mark)}, {quote(mark[0] + chr(92) + mark[1:])})"
+        return c
+
+    rows = " UNION ALL ".join(f"SELECT {a}, {b}, {quote(r)}, {quote(t)}" for a, b, r, t in added)
+    order = "ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST"
+    fixed = {r: sum(map(len, header(r))) for r in ("user", "assistant")}
+    return f"""
+WITH c AS (SELECT conv_id, turn, role AS r0, text AS t0 FROM conversations UNION ALL {rows}),
+t AS (SELECT *, coalesce(r0, '') AS role, coalesce(t0, '') AS text FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({escaped('text')}) + CASE role WHEN 'user' THEN {fixed['user']} WHEN 'assistant' THEN {fixed['assistant']} ELSE {sum(map(len, header('')))} + length({escaped('role')}) END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

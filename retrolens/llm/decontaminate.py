@@ -16,7 +16,7 @@ of both windows are compared: false hits go, substitutions within the limit
 stay.
 
 Defined results: null and empty texts overlap nothing, a null doc_id or item_id
-is carried as null, items that say the same words count once (smallest id),
+is carried as null, items with equal texts count once (smallest id),
 repeated documents give one row per (doc_id, item_id), and empty tables give an
 empty result. Extra columns are ignored.
 """
@@ -222,7 +222,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     agree in one window."""
     met = _met(docs, benchmark, text, key, item_text, item_key)
     return met.groupBy("doc_id", "item_id", "item_words").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.min("doc_at").alias("first_word"), F.max("doc_end").alias("end_word"), F.max("n").alias("best_match")
+        F.count(F.lit(1)).alias("n_windows"), F.min("doc_at").alias("first_word"), F.max("doc_end").alias("end_word"), F.max("n").cast("long").alias("best_match")
     )
 
 
@@ -230,3 +230,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     """The documents that overlap no item, columns as they came."""
     bad = _met(docs, benchmark, text, key, item_text, item_key).select(F.col("doc_id").alias("_hit"), "doc_mark").distinct()
     return docs.join(bad, docs[key].eqNullSafe(bad["_hit"]) & (F.xxhash64(docs[text]) == bad["doc_mark"]), "left_anti")
+
+
+def oracle_sql() -> str:
+    """overlaps() of documents and benchmark, for DuckDB: alignments that share
+    four words in a row (of a window with two misses at most, some four agree),
+    then every window on them."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}]+')"
+    spread = lambda name, key: f"{name} AS (SELECT {key}, unnest(w) AS w, unnest(range(len(w))) AS pos, len(w) AS n FROM (SELECT {key}, {words} AS w FROM {name}_in))"
+    fours = lambda name, key: f"{name}4 AS (SELECT {key}, pos, w || ' ' || lead(w) OVER k || ' ' || lead(w, 2) OVER k || ' ' || lead(w, 3) OVER k AS g FROM {name} WINDOW k AS (PARTITION BY {key} ORDER BY pos))"
+    return f"""
+WITH d_in AS (SELECT doc_id, text FROM documents), b_in AS (SELECT min(item_id) AS item_id, text FROM benchmark GROUP BY text),
+{spread('d', 'doc_id')}, {spread('b', 'item_id')}, {fours('d', 'doc_id')}, {fours('b', 'item_id')},
+lines AS (SELECT DISTINCT doc_id, item_id, d4.pos - b4.pos AS shift FROM d4 JOIN b4 USING (g)),
+pairs AS (SELECT l.*, b.pos AS b_pos, d.pos AS d_pos, b.n, least(b.n, {WINDOW}) AS size, CAST(b.w = d.w AS INTEGER) AS same
+  FROM lines l JOIN b ON b.item_id = l.item_id JOIN d ON d.doc_id = l.doc_id AND d.pos = b.pos + l.shift),
+sums AS (SELECT *, sum(same) OVER k AS s, count(*) OVER k AS c FROM pairs WINDOW k AS (PARTITION BY doc_id, item_id, shift ORDER BY b_pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))
+SELECT doc_id, item_id, n AS item_words, count(*) AS n_windows, min(d_pos) AS first_word, max(d_pos + size) AS end_word, CAST(max(s) AS BIGINT) AS best_match
+FROM sums WHERE c = size AND n >= {SHORTEST} AND s >= CASE WHEN size = {WINDOW} THEN {WINDOW - MISSES} ELSE size END GROUP BY ALL"""

@@ -16,6 +16,10 @@ from .common import shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 
 
+#: The conversation that op10 adds: control strings as what both say.
+PROBE = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,9 +68,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_conversations(rows.unionByName(probe)))
 
 
@@ -82,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_chat": op10_chat,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle_sql(), "op2_license_scan": license_scan.oracle_sql(), "op8_warc": warc.oracle_sql(), "op10_chat": chat.oracle_sql(PROBE)}

@@ -208,3 +208,15 @@ def capture_table(spark: SparkSession, place: str, with_block: bool = True) -> D
 
 def new_folder(shared: str) -> str:
     return f"{shared}/warc-{uuid.uuid4().hex}"
+
+
+def oracle_sql() -> str:
+    """The captures of all pages, for DuckDB."""
+    number = lambda block: f"('0x' || substr(h, {block * 10 + 1}, 10))::BIGINT"
+    letters = [f"substr('{BASE32}', CAST((({number(block)} >> {35 - 5 * i}) & 31) + 1 AS BIGINT), 1)" for block in range(4) for i in range(8)]
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {' || '.join(letters)} AS payload_digest,
+  CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last_id THEN last_id END AS refers_to
+FROM l"""

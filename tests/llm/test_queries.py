@@ -1,0 +1,48 @@
+"""The registered corpus queries and the pipeline on the smallest tables."""
+
+import re
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from retrolens.llm import queries, simhash
+
+
+@pytest.fixture(scope="module")
+def oracle(sf_dir):
+    con = duckdb.connect()
+    for f in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, sf_dir, oracle, name):
+    frame = queries.QUERIES[name](spark, sf_dir)
+    columns = sorted(frame.columns)
+    got = Counter(tuple(r[c] for c in columns) for r in frame.collect())
+    assert got
+    if name in queries.ORACLE_SQL:
+        want = oracle.execute(queries.ORACLE_SQL[name])
+        names = [d[0] for d in want.description]
+        assert sorted(names) == columns
+        assert got == Counter(tuple(row[names.index(c)] for c in columns) for row in want.fetchall())
+
+
+def test_one_query_for_each_operator():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_pipeline(spark, sf_dir):
+    """Each stage's decisions take effect on the rows that the one before kept."""
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    good = {r.doc_id for r in queries.QUERIES["op5_quality_rules"](spark, sf_dir).collect() if r.kept}
+    docs = spark.createDataFrame([rows[i] for i in sorted(good)], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    first = {r.doc_id for r in simhash.near_duplicates(docs).collect() if r.doc_id == r.component_id}
+    bad = {r.doc_id for r in queries.QUERIES["op1_decontamination"](spark, sf_dir).collect()}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(first - bad)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "length_packing"]
