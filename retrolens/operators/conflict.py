@@ -91,3 +91,30 @@ def overlap_edges(items: DataFrame, bucket: float) -> DataFrame:
     far = a.join(wide, (F.col("a.column") == F.col("b.column")) & (F.col("a.gid") != F.col("b.gid")) & ((F.col("a.rw") == "W") | (F.col("b.rw") == "W")) & reach)
     pairs = near.select(F.col("a.gid").alias("src"), F.col("b.gid").alias("dst")).union(far.select(F.least("a.gid", "b.gid").alias("src"), F.greatest("a.gid", "b.gid").alias("dst")))
     return pairs.distinct()
+
+
+def edges_with_wildcards(accesses: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
+    """(src, dst) as edges(), where an access whose key is null is the wildcard
+    and conflicts with every access. A wildcard is a barrier: what has no
+    successor since the barrier before it must precede it, and it precedes what
+    has no predecessor after it, so no wildcard meets the whole log."""
+    wild = F.col(key[0]).isNull()
+    marked = accesses.groupBy(*key, "gid").agg(F.bool_or(F.col("rw") == "R").alias("reads"), F.bool_or(F.col("rw") == "W").alias("writes"))
+    barriers = marked.where(wild).select("gid").distinct()
+    both = marked.join(barriers, "gid", "left_anti").select("gid", *key, "reads", "writes").withColumn("_wall", F.lit(False))
+    walls = barriers.select("gid", *[F.lit(None).cast(accesses.schema[k].dataType).alias(k) for k in key], F.lit(True).alias("reads"), F.lit(True).alias("writes"), F.lit(True).alias("_wall"))
+    # one order for all: dealt by range like any hot key
+    lined = both.unionByName(walls).withColumns({"_all": F.lit(0), "_wall_gid": F.when(F.col("_wall"), F.col("gid")), "_mark": F.concat_ws("|", *[F.col(k).cast("string") for k in key])})
+    lined = cut(before(lined, ["_all"], ["gid", "_mark"], {"walls": ("count", F.col("_wall_gid")), "wall": ("last", F.col("_wall_gid"))}, parts))
+    inner = lined.where(~F.col("_wall")).select("gid", *key, "walls", "wall", F.explode(F.array_compact(F.array(F.when(F.col("reads"), "R"), F.when(F.col("writes"), "W")))).alias("rw"))
+    within = edges(inner.select("gid", "rw", *key, "walls"), [*key, "walls"], parts)
+    one = inner.groupBy(*key, "walls", "wall", "gid").agg(F.bool_or(F.col("rw") == "W").alias("writes"))
+    stretch = one.groupBy(*key, "walls").agg(F.min(F.when(F.col("writes"), F.col("gid"))).alias("first_write"), F.max(F.when(F.col("writes"), F.col("gid"))).alias("last_write"), F.min("gid").alias("first"), F.max("gid").alias("last"))
+    ends = one.join(stretch, [*key, "walls"]).select("gid", "walls", "wall", "writes", "first_write", "last_write", "first", "last")
+    tail = F.when(F.col("writes"), F.col("gid") == F.col("last")).otherwise(F.col("last_write").isNull() | (F.col("gid") > F.col("last_write")))
+    head = F.when(F.col("writes"), F.col("gid") == F.col("first")).otherwise(F.col("first_write").isNull() | (F.col("gid") < F.col("first_write")))
+    wall = lined.where("_wall").select("walls", F.col("gid").alias("wall_gid"))
+    into = ends.where(tail).join(wall, "walls").select(F.col("gid").alias("src"), F.col("wall_gid").alias("dst"))
+    out = ends.where(head & F.col("wall").isNotNull()).select(F.col("wall").alias("src"), F.col("gid").alias("dst"))
+    chain = lined.where("_wall AND wall IS NOT NULL").select(F.col("wall").alias("src"), F.col("gid").alias("dst"))
+    return within.union(into).union(out).union(chain).distinct()

@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retrolens.lineage import cut
+
 from .relations import Relations
 
 
@@ -126,3 +128,24 @@ def spread_indices(total: int, ratio: float) -> list[int]:
         return []
     m = min(total, max(1, int(total * ratio + 0.5)))
     return sorted({min(total - 1, int((k + 0.5) * total / m)) for k in range(m)})
+
+
+def row_closure(items: DataFrame, targets: list[int], key: list[str]) -> DataFrame:
+    """Distinct gids that depend on the targets by rows, however many steps away:
+    a transaction that touches a key after a target, or after a dependent one,
+    wrote it is dependent. ``items``: (gid, rw, *key), equality of keys.
+
+    A fixpoint over the earliest gid at which each key is tainted: a round joins
+    the keys that became tainted (earlier) with the log and ends with the
+    transactions that are new; as many rounds as the longest chain of keys."""
+    items = cut(items.select("gid", "rw", *key).distinct())
+    writes = items.where("rw = 'W'").select("gid", *key)
+    tainted = writes.where(F.col("gid").isin(targets)).groupBy(*key).agg(F.min("gid").alias("since"))
+    found = None
+    while True:
+        fresh = items.join(tainted, key).where(F.col("gid") > F.col("since")).select("gid").distinct().where(~F.col("gid").isin(targets))
+        fresh = cut(fresh if found is None else fresh.join(found, "gid", "left_anti"))
+        if fresh.isEmpty():
+            return fresh if found is None else found
+        found = fresh if found is None else cut(found.union(fresh))
+        tainted = writes.join(fresh, "gid", "left_semi").groupBy(*key).agg(F.min("gid").alias("since"))

@@ -161,6 +161,22 @@ def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depend.row_matched(accesses(spark, sf_dir), TARGETS, ["key"])
 
 
+CHAIN_SQL = """items AS (SELECT event_id AS gid, 'R' AS rw, 'u' || user_id AS key FROM events WHERE event_type IN ('view', 'click') UNION ALL
+SELECT event_id, 'W', 'u' || CASE WHEN event_type = 'click' THEN (user_id * 7) % 150 ELSE user_id END FROM events WHERE event_type IN ('signup', 'click'))"""
+
+
+@query("j3_transitive_rows", f"""WITH RECURSIVE {CHAIN_SQL}, dep(gid) AS (SELECT DISTINCT gid FROM items WHERE gid IN (1, 500) UNION
+SELECT c.gid FROM dep d JOIN items w ON w.gid = d.gid AND w.rw = 'W' JOIN items c ON c.key = w.key AND c.gid > w.gid) SELECT gid FROM dep WHERE gid NOT IN (1, 500)""")
+def j3t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependency through any number of keys: a click reads its user's row and
+    writes another's."""
+    base, name = log(spark, sf_dir), lambda k: F.concat(F.lit("u"), k.cast("string"))
+    reads = base.where("op IN ('view', 'click')").select("gid", F.lit("R").alias("rw"), name(F.col("key")).alias("key"))
+    other = F.when(F.col("op") == "click", F.col("key") * 7 % 150).otherwise(F.col("key"))
+    writes = base.where("op IN ('signup', 'click')").select("gid", F.lit("W").alias("rw"), name(other).alias("key"))
+    return depend.row_closure(reads.unionByName(writes), [1, 500], ["key"])
+
+
 DECIDE_SQL = f"""WITH RECURSIVE {TAINT_SQL}, {ROW_SQL},
 coldep AS (SELECT DISTINCT cols.gid FROM cols JOIN near ON near.a = cols."column" JOIN first ON first.c = near.b WHERE first.g < cols.gid),
 dec AS (SELECT e.event_id AS gid, (d.gid IS NOT NULL) AS column_dependent, (event_type <> 'error') AS has_key, (m.gid IS NOT NULL) AS row_match

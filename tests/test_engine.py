@@ -345,3 +345,42 @@ def test_running_aggregates_with_a_hot_key(spark, parts):
         if v is not None:
             seen.append(v)
     assert {r.gid: (r.n, r.s, r.l) for r in got} == want
+
+
+# ---- closures and wildcards ----
+
+
+def test_row_closure_is_the_recursive_rule(spark):
+    rng = random.Random(12)
+    rows = [(g, rng.choice("RW"), rng.randrange(30)) for g in range(60) for _ in range(rng.randrange(1, 3))]
+    for targets in ([3], [0, 40], [99]):
+        tainted, dependent = set(), set()
+        for g in range(60):
+            mine = [(rw, k) for x, rw, k in rows if x == g]
+            if g in targets or any(k in tainted for _, k in mine):
+                if g not in targets:
+                    dependent.add(g)
+                tainted |= {k for rw, k in mine if rw == "W"}
+        got = depend.row_closure(spark.createDataFrame(rows, "gid long, rw string, key long"), targets, ["key"])
+        # a target that depends on an earlier one stays a target
+        assert {r.gid for r in got.collect()} == dependent
+
+
+def reachable(edges, nodes):
+    out = {n: set() for n in nodes}
+    for n in sorted(nodes, reverse=True):
+        for a, b in edges:
+            if a == n:
+                out[n] |= {b} | out[b]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wildcards_are_barriers(spark, seed):
+    rng = random.Random(seed)
+    rows = [(g, rng.choice("RW"), None if rng.random() < 0.12 else rng.randrange(4)) for g in range(50) for _ in range(rng.randrange(1, 3))]
+    clash = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (None in (a[2], b[2]) or (a[2] == b[2] and "W" in (a[1], b[1])))}
+    got = conflict.edges_with_wildcards(spark.createDataFrame(rows, "gid long, rw string, key long"), ["key"], 3)
+    edges = {(r.src, r.dst) for r in got.collect()}
+    nodes = {r[0] for r in rows}
+    assert edges <= clash and reachable(edges, nodes) == reachable(clash, nodes)
