@@ -133,13 +133,14 @@ def spread_indices(total: int, ratio: float) -> list[int]:
 def row_closure(items: DataFrame, targets: list[int], key: list[str]) -> DataFrame:
     """Distinct gids that depend on the targets by rows, however many steps away:
     a transaction that touches a key after a target, or after a dependent one,
-    wrote it is dependent. ``items``: (gid, rw, *key), equality of keys.
+    wrote it is dependent. ``items``: (gid, rw, *key), equality of keys; rw is R,
+    W, or T for a key that is tainted without being met.
 
     A fixpoint over the earliest gid at which each key is tainted: a round joins
     the keys that became tainted (earlier) with the log and ends with the
     transactions that are new; as many rounds as the longest chain of keys."""
     items = cut(items.select("gid", "rw", *key).distinct())
-    writes = items.where("rw = 'W'").select("gid", *key)
+    writes, items = items.where("rw IN ('W', 'T')").select("gid", *key), items.where("rw <> 'T'")
     tainted = writes.where(F.col("gid").isin(targets)).groupBy(*key).agg(F.min("gid").alias("since"))
     found = None
     while True:
