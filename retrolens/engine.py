@@ -27,7 +27,7 @@ from retrolens.lineage import cut
 from retrolens.operators import cluster, depend, diff, executor
 from retrolens.operators.access import Access, accesses, union
 from retrolens.operators.procedures import Procedure
-from retrolens.sources import sql
+from retrolens.sources import sql, statelog
 from retrolens.sources.config import Config
 
 ACCESS = "gid long, rw string, what string, column string, point string"
@@ -149,10 +149,10 @@ class WhatIf:
 
     def auto_plan(self, access: DataFrame, ratio: float) -> Plan:
         """A plan for a share of all transactions, evenly spread; for reports."""
-        gids = access.select("gid").distinct()
+        gids = cut(access.select(F.col("gid").alias("event"), F.floor(F.col("gid") / 1_000_000).alias("_block")).distinct())
         places = depend.spread_indices(gids.count(), ratio)
-        ranked = gids.orderBy("gid").rdd.zipWithIndex().toDF("row struct<gid: long>, place long")
-        return self.plan(access, [r.gid for r in ranked.where(F.col("place").isin(places)).select("row.gid").collect()])
+        ranked = statelog.numbered(gids, "_block", ["event"])  # its gid is the place
+        return self.plan(access, [r.event for r in ranked.where(F.col("gid").isin(places)).select("event").collect()])
 
     @staticmethod
     def report(plan: Plan) -> DataFrame:
