@@ -189,6 +189,16 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.components(ties.join(least, "l_orderkey").select("a", F.col("k").alias("b")).distinct())
 
 
+@query("g4_composite_merge_all")
+def g4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g4_composite_merge over all rows and real keys; recursive SQL is too slow for it."""
+    p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    ties = table(spark, sf_dir, "lineitem").select("l_orderkey", F.explode(F.array(p, s)).alias("k")).distinct()
+    least = ties.groupBy("l_orderkey").agg(F.min("k").alias("a"))
+    return cluster.components(ties.join(least, "l_orderkey").select("a", F.col("k").alias("b")).distinct())
+
+
 @query("g13_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
