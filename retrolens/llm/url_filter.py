@@ -8,9 +8,8 @@ longest rule wins.
 Template tree, per host: segments that are numbers or hexadecimal strings, or
 that contain digits, are generalised by shape. The addresses are then counted
 by host and shape, so that all further work is on that small table. Level by
-level, below each prefix, a prefix with more than ``MOST_CHILDREN`` children has
-variable segments, which become the wildcard ``*``; of few children, those
-whose labelled rate of bad pages doesn't differ from that of all children of
+level, below each prefix, a prefix merges its variable segments into the wildcard
+``*``: of several children, however many, those whose labelled rate of bad pages doesn't differ from that of all children of
 the prefix (a two-sided z-test at ``Z``) are merged into the branch ``*`` as
 well, and only those that differ keep a branch of their own. Segments beyond
 ``DEPTH`` form one tail ``**``.
@@ -41,7 +40,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DEPTH, MOST_CHILDREN, Z = 4, 20, 2.58
+DEPTH, Z = 4, 2.58
 PRIOR_WEIGHT, REJECT = 10.0, 0.5
 
 
@@ -89,7 +88,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         spread = F.sqrt(rate * (1 - rate) / F.greatest(F.col("l"), F.lit(1)))
         differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - rate) > Z * spread)
         alone = F.col("kinds") == 1
-        keeps = alone | ((F.col("kinds") <= MOST_CHILDREN) & differs)
+        keeps = alone | differs
         branch = F.when(keeps, F.col("segment")).otherwise(F.lit("*"))
         named = children.join(parents, ["host", "template"]).select(F.col("host").alias("_host"), F.col("template").alias("_under"), F.col("segment").alias("_segment"), branch.alias("_branch"))
         on = (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_under")) & (segment == F.col("_segment"))
