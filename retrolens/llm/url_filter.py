@@ -11,8 +11,8 @@ by host and shape, so that all further work is on that small table. Level by
 level, below each prefix, a prefix merges its variable segments into the wildcard
 ``*``: of several children, however many, those whose labelled rate of bad pages doesn't differ from that of all children of
 the prefix (a two-sided z-test at ``Z``) are merged into the branch ``*`` as
-well, and only those that differ keep a branch of their own. Segments beyond
-``DEPTH`` form one tail ``**``.
+well, and only those that differ keep a branch of their own. The levels end
+where no address has a further segment.
 
 A template is rejected if its smoothed purity, (bad + PRIOR_WEIGHT * rate) /
 (labelled + PRIOR_WEIGHT) with the rate of all labelled pages, is at least
@@ -40,7 +40,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DEPTH, Z = 4, 2.58
+Z = 2.58
 PRIOR_WEIGHT, REJECT = 10.0, 0.5
 
 
@@ -67,10 +67,8 @@ def shape(segment: Column) -> Column:
 
 
 def _shapes(path: Column) -> Column:
-    """The first DEPTH segments by shape, and a tail mark if there are more."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    head = F.transform(F.slice(parts, 1, DEPTH), shape)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    """The segments by shape."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -80,7 +78,8 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     counted = pages.select("page_id", "host", "shapes").join(rated, "page_id", "left")
     tree = counted.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = cut(tree.withColumn("template", F.array().cast("array<string>")))
-    for level in range(DEPTH):
+    levels = tree.agg(F.max(F.size("shapes"))).first()[0] or 0
+    for level in range(levels):
         segment = F.get("shapes", level)
         children = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
@@ -94,8 +93,9 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         on = (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_under")) & (segment == F.col("_segment"))
         grown = F.when(F.col("_branch").isNull(), F.col("template")).otherwise(F.concat("template", F.array("_branch")))
         tree = tree.join(named, on, "left").select("host", "shapes", "n", "labelled", "bad", grown.alias("template"))
-    tail = F.when(F.size("shapes") > DEPTH, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
-    tree = cut(tree.withColumn("template", F.concat_ws("/", tail)))
+        if level % 4 == 3:  # a plan of many levels would grow too long
+            tree = cut(tree)
+    tree = cut(tree.withColumn("template", F.concat_ws("/", "template")))
     total = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     rate = total["b"] / total["l"] if total["l"] else 0.0
     merged = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))

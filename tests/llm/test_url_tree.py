@@ -13,3 +13,9 @@ def test_a_bad_branch_among_many(spark):
     urls = [f"http://h.test/{'casino' if k == 0 else chr(96 + k) * 3}/{page}" for k in range(22) for page in range(40)]
     got = judged(spark, urls, ["casino" in u for u in urls])
     assert {p for p, v in got.items() if v == "block"} == {p for p in got if "casino" in p} and len(got) == 22 * 40
+
+
+def test_a_bad_branch_below_level_four(spark):
+    urls = [f"http://h.test/a/b/c/d/{kind}/e/{page}" for kind in ("spam", "news", "blog") for page in range(40)]
+    got = judged(spark, urls, ["spam" in u for u in urls])
+    assert {p for p, v in got.items() if v == "block"} == {p for p in got if "/spam/" in p} and len(got) == 120
