@@ -9,10 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from retrolens.lineage import cut, shared_dir
 
-__all__ = ["CHUNK_BYTES", "byte_words", "chunks", "cut", "mix", "release", "shared_dir", "span_hashes"]
+__all__ = ["CHUNK_BYTES", "byte_words", "chunks", "cut", "few", "look_up", "mix", "release", "row_id", "shared_dir", "span_hashes"]
+
+#: A key is hot if it holds more than one row in so many; so there are fewer hot keys than this.
+HOT_KEYS = 10_000
+#: Rows of keys and numbers that may be broadcast, by count (some 64 MB at most).
+FEW_ROWS = 1 << 20
 
 #: Bytes of text that one numpy chunk holds at most, a longer document alone excepted.
 CHUNK_BYTES = 1 << 20
@@ -36,6 +43,30 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+def row_id(key: str | Column) -> Column:
+    """An id as a long. One that is no integer counts as null."""
+    return (F.col(key) if isinstance(key, str) else key).try_cast("long")
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, materialised and of short rows, to be broadcast if they have been
+    counted and are few."""
+    return F.broadcast(keys) if keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS else keys
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``table``, materialised, one
+    row a key, whose column ``n`` counts the rows of the key. Rows of hot keys
+    meet the table where they lie: fewer than HOT_KEYS keys hold more than one row
+    in HOT_KEYS, so those are broadcast; the others are joined by a shuffle."""
+    hot = cut(table.where(F.col(n) > total // HOT_KEYS + 1))
+    rest = table.where(F.col(n) <= total // HOT_KEYS + 1)
+    if hot.isEmpty():
+        return rows.join(rest, on)
+    lone = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(lone.join(rest, on))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise on uint64."""
     x = x.astype(np.uint64, copy=True)

@@ -1,22 +1,39 @@
-"""Near copies by the Jaccard similarity of their five-word shingles.
+"""Near copies by the Jaccard similarity of their five-word shingles: the form
+of the SimHash operator (``simhash``) for pipeline stages, with the same index
+of one-wildcard segment variants over another sketch.
 
 A text is lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; its set
 of shingles holds each run of ``WORDS`` words once (fewer words: the whole
 sequence as one shingle). Two texts link if their sets' Jaccard similarity is at
 least ``LEAST_PERCENT`` hundredths.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, joined on
-equality of a whole band. Every candidate is verified on the whole shingle sets,
-so no pair below the limit links. A pair at 0.8 shares no band with probability
-(1 - 0.8 ** ROWS) ** BANDS, 3 in a million; more similar pairs less. Texts with
-one set count once. A band that more than ``hot`` sets share isn't expanded into
-pairs: its members are verified against its ``LEADERS`` sets of least hash, the
-same sets in all bands of a group. Members that are near one another but near
-none of the leaders are met there only through bands that fewer share.
+Why not the bits of a SimHash: at a similarity of 0.8 two of its bits differ with
+probability arccos(0.889) / pi = 0.15, ten of 64. Ten bits take six segments of
+ten or eleven bits, entries that a thousandth of all texts share; and wider
+fingerprints with segments long enough for a large corpus (32 bits) meet in one
+segment of thirty. The sketch is made of MinHash values instead, of which two
+texts share a share equal to their similarity.
+
+``SEGMENTS`` segments of ``PLACES`` values each are cut; each segment is indexed
+under its ``PLACES`` variants with one value left out, so texts meet if some
+segment differs in at most one value. At 0.8 no segment does so with probability
+(1 - 0.8 ** 6 - 6 * 0.2 * 0.8 ** 5) ** 12, 3 in a million; less above. Every
+candidate is verified on the whole shingle sets, so no pair below the limit
+links. Texts with one set count once.
+
+Only components are wanted, so an entry isn't expanded into pairs at first: its
+members are verified against one of them. Entries whose members are one component
+by then are done. In the others, members of different components are verified
+pair by pair where the entry holds ``hot`` sets at most. The members of larger
+ones are taken together and joined by a prefix filter, which misses no pair: two
+sets of similarity t share one of the (1 - t) * size + 1 shingles that are rarest
+among them, at places that leave enough others to share; only pairs from
+different components are met there.
 
 Defined results: null and empty texts and texts of white space have the empty
-set and link to each other only; equal rows count as copies; a null id never
-names a component that has another id; an empty table gives an empty result.
+set and link to each other only; equal rows count as copies; a null id, or one
+that is no integer, never names a component that has another id; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,18 +45,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, byte_words, chunks, cut, mix, span_hashes
-from .simhash import connected
+from .common import BYTE_VALUE, byte_words, chunks, cut, few, look_up, mix, row_id, span_hashes
+from .simhash import connected, keep_first
 
 WORDS, LEAST_PERCENT = 5, 80
-BANDS, ROWS = 32, 5
-#: A band with more distinct sets than this is linked through its leaders.
-HOT_BAND, LEADERS = 64, 8
-
-_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
-_FACTORS, _SHIFTS = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
+SEGMENTS, PLACES = 12, 6
+#: An entry with more distinct sets than this isn't expanded into pairs.
+HOT_ENTRY = 64
+#: Further rounds in which larger entries are verified against one member each.
+ROUNDS = 2
+
+_SEEDS = mix(np.arange(1, 2 * SEGMENTS * PLACES + 1, dtype=np.uint64))
+_FACTORS, _SHIFTS = _SEEDS[: SEGMENTS * PLACES] | np.uint64(1), _SEEDS[SEGMENTS * PLACES :]
 _PLACES = mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
-_BAND_PLACES = mix(np.arange(2001, 2001 + ROWS, dtype=np.uint64)) | np.uint64(1)
+_VALUE_PLACES = mix(np.arange(2001, 2001 + PLACES, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -70,17 +89,17 @@ def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return mix(sums + np.array([len(x) for x in sets], dtype=np.uint64)).view(np.int64)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS keys for each set; none may be empty."""
+def variants(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of entries for each set: every segment with each of its values left
+    out. No set may be empty."""
     flat, at = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]])
-    keys = np.empty((len(sets), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(sets), b, np.uint64)
-        for r in range(ROWS):
-            i = b * ROWS + r
-            key += np.minimum.reduceat(flat * _FACTORS[i] + _SHIFTS[i], at) * _BAND_PLACES[r]
-        keys[:, b] = mix(key)
-    return keys.view(np.int64)
+    entries = np.empty((len(sets), SEGMENTS * PLACES), np.uint64)
+    for s in range(SEGMENTS):
+        terms = [np.minimum.reduceat(flat * _FACTORS[i] + _SHIFTS[i], at) * _VALUE_PLACES[k] for k, i in enumerate(range(s * PLACES, (s + 1) * PLACES))]
+        whole = np.sum(terms, axis=0, dtype=np.uint64)
+        for k, term in enumerate(terms):
+            entries[:, s * PLACES + k] = mix(whole - term + np.uint64(s * PLACES + k))
+    return entries.view(np.int64)
 
 
 def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -98,10 +117,10 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for s, e, sets in _runs(batch, 1):
             full = [x for x in sets if len(x)]
-            found = iter(band_keys(full) if full else ())
-            bands = _lists([next(found) if len(x) else np.empty(0, np.int64) for x in sets])
-            cols = [batch.column(0)[s:e], batch.column(2)[s:e], pa.array(_set_hashes(sets)), pa.array([len(x) for x in sets], pa.int64()), bands]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "bands"])
+            found = iter(variants(full) if full else ())
+            entries = _lists([next(found) if len(x) else np.empty(0, np.int64) for x in sets])
+            cols = [batch.column(0)[s:e], batch.column(2)[s:e], pa.array(_set_hashes(sets)), pa.array([len(x) for x in sets], pa.int64()), entries]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "entries"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,50 +129,119 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], _lists(sets)], names=["node", "shingles"])
 
 
-def _candidates(bands: DataFrame, hot: int) -> DataFrame:
-    """(a, b), a < b: pairs of ``bands`` (node, size, band) that share a band and
-    whose sizes allow the similarity."""
-    counted = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = bands.join(counted, "band")
-    few = member.where(F.col("n") <= hot).select("band", "node", "size")
-    other = few.select("band", F.col("node").alias("b"), F.col("size").alias("size_b"))
-    pairs = few.join(other, "band").where("node < b").select(F.col("node").alias("a"), "size", "b", "size_b")
-    many = member.where(F.col("n") > hot).select("band", "node", "size")
-    ranked = F.struct(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "size")).alias(f"l{i}") for i in range(LEADERS)])
-    leaders = many.groupBy("band").agg(ranked.alias("l")).select("band", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l.l{i}.node").alias("leader"), F.col(f"l.l{i}.size").alias("size_b")) for i in range(LEADERS)]))).alias("x")).select("band", "x.*")
-    stars = many.join(leaders, "band").where("node <> leader").select(F.col("node").alias("a"), "size", F.col("leader").alias("b"), "size_b")
-    both = pairs.unionByName(stars).where(F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * LEAST_PERCENT)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _with_sets(nodes: DataFrame, rows: DataFrame, distinct: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """``sets`` (node, shingles) with those of further ``nodes``."""
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+    wanted = cut(nodes.join(distinct, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")))
+    texts = rows.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "body")
+    new = cut(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]))
+    return new if sets is None else sets.unionByName(new)
 
 
-def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_BAND) -> DataFrame:
-    """One row per input row: doc_id, mark (hash of the text), node (hash of the
-    shingle set), component_id."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(text).alias("mark"))
-    signed = cut(rows.mapInArrow(_sign_batches, "doc_id long, mark long, node long, size long, bands array<long>"))
-    distinct = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    distinct = cut(distinct.select("node", "first_id", "at", "size", "bands"))
-    pairs = cut(_candidates(distinct.select("node", "size", F.explode("bands").alias("band")), hot))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct.select("node", "at"), "node")
-    wanted = wanted.select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "body")
-    sets = cut(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(x)) for n, x in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))
-    joint = F.size("x") + F.size("y") - common
-    edges = pairs.join(right, "b").join(left, "a").where(common * 100 >= joint * LEAST_PERCENT).select("a", "b")
-    member = cut(connected(edges))
+    links = common * 100 >= (F.size("x") + F.size("y") - common) * LEAST_PERCENT
+    return cut(pairs.join(right, "b").join(left, "a").where(links).select("a", "b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) once each, a < b, whose sizes allow the similarity."""
+    near = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * LEAST_PERCENT
+    return cut(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _apart(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """``shared`` (entry, n, node, size) with component ``c`` of each node, less
+    the entries whose members are all of one component."""
+    held = shared.drop("c").join(member, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+    several = held.groupBy("entry").agg(F.min("c").alias("_least"), F.max("c").alias("_most"), F.first("n").alias("n")).where("_least < _most").select("entry", "n")
+    return cut(look_up(held.drop("n"), cut(several), ["entry"], "n", shared.count()))
+
+
+def _stars(shared: DataFrame, turn: int) -> DataFrame:
+    """Each member of an entry with one member, of another component. Which one
+    follows from a hash of its component and itself, another one each turn."""
+    lead = shared.groupBy("entry").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "size", "c")).alias("l"), F.first("n").alias("n"))
+    lead = cut(lead.select("entry", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"), F.col("l.c").alias("c_b"), "n"))
+    pairs = look_up(shared.select("entry", F.col("node").alias("a"), "size", "c"), lead, ["entry"], "n", shared.count())
+    return pairs.where("c <> c_b").select("a", "size", "b", "size_b")
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """All pairs of an entry from different components."""
+    other = shared.select("entry", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
+    return shared.select("entry", F.col("node").alias("a"), "size", "c").join(other, "entry").where("c < c_b").select("a", "size", "b", "size_b")
+
+
+def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``crowd`` (node, c) from different components that may link: they
+    share one of their rarest shingles, at places that leave enough others."""
+    spread = cut(crowd.join(sets, "node").select("node", "c", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
+    often = cut(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")))
+    ranked = look_up(spread, often, ["shingle"], "often", spread.count()).groupBy("node", "c", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    prefix = F.col("size") - F.ceil(F.col("size") * LEAST_PERCENT / 100) + 1
+    kept = cut(ranked.select("node", "c", "size", F.posexplode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("place", "x")).select("node", "c", "size", "place", F.col("x.shingle").alias("shingle")))
+    several = kept.groupBy("shingle").agg(F.min("c").alias("_least"), F.max("c").alias("_most")).where("_least < _most").select("shingle")
+    kept = cut(kept.join(several, "shingle", "left_semi"))
+    other = kept.select("shingle", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    # of similarity t, sets share t / (1 + t) of their summed sizes; what lies before the places isn't shared
+    room = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    enough = room * (100 + LEAST_PERCENT) >= (F.col("size") + F.col("size_b")) * LEAST_PERCENT
+    return kept.join(other, "shingle").where((F.col("c") < F.col("c_b")) & enough).select(F.col("node").alias("a"), "size", "b", "size_b")
+
+
+def _members(distinct: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
+    """(node, root): the smallest node that each linked node reaches."""
+    entries = distinct.select("node", "size", F.explode("entries").alias("entry"))
+    counted = cut(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = cut(look_up(entries, counted, ["entry"], "n", counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).withColumn("c", F.col("node")))
+    edges, sets = None, None
+
+    def grown(pairs: DataFrame) -> DataFrame:
+        nonlocal edges, sets
+        pairs = _ordered(pairs)
+        if edges is not None and pairs.isEmpty():
+            return member
+        sets = _with_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, distinct, sets)
+        found = _verified(pairs, sets)
+        edges = found if edges is None else cut(edges.unionByName(found))
+        return cut(connected(edges))
+
+    member = grown(_stars(shared, 0))
+    shared = _apart(shared, member)
+    large = shared.where(F.col("n") > hot)
+    if not shared.isEmpty():
+        member = grown(_pairs(shared.where(F.col("n") <= hot)).unionByName(_stars(large, 1)))
+    for turn in range(2, 2 + ROUNDS):
+        large = _apart(large, member)
+        if large.isEmpty():
+            return member
+        member = grown(_stars(large, turn))
+    crowd = cut(_apart(large, member).select("node", "c").distinct())
+    if crowd.isEmpty():
+        return member
+    sets = _with_sets(crowd.select("node"), rows, distinct, sets)
+    return grown(_prefix_pairs(crowd, sets))
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_ENTRY) -> DataFrame:
+    """One row per input row: doc_id, mark (hash of the text), node (hash of the
+    shingle set), component_id, component (the smallest node of the component)."""
+    rows = docs.select(row_id(key).alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(text).alias("mark"))
+    signed = cut(rows.mapInArrow(_sign_batches, "doc_id long, mark long, node long, size long, entries array<long>"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")).alias("at")
+    distinct = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), least, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("entries").alias("entries")))
+    member = _members(distinct.select("node", "at", "size", "entries"), rows, hot)
     named = member.join(distinct, "node").select("node", "root", "first_id")
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("node", "least_id")
-    class_of = distinct.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    return signed.join(class_of, "node").select("doc_id", "mark", "node", "component_id")
-
-
-def one_per_group(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_BAND) -> DataFrame:
-    """The documents with one of each group left: that with the smallest id; of
-    equal rows one stays. Columns as they came."""
-    found = near_copies(docs, text, key, hot)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "mark").distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_kept"]) & (F.xxhash64(docs[text]) == keep["mark"]), "left_semi")
-    return kept.dropDuplicates([key, text])
+    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("node", "root", "least_id")
+    class_of = cut(distinct.join(named, "node", "left").select("node", "n", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "node").alias("component")))
+    return look_up(signed.select("doc_id", "mark", "node"), class_of, ["node"], "n", signed.count()).select("doc_id", "mark", "node", "component_id", "component")
+
+
+def one_per_group(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_ENTRY) -> DataFrame:
+    """The documents with one of each component left, as ``simhash.keep_first``
+    chooses it; columns as they came."""
+    return keep_first(docs, near_copies(docs, text, key, hot), text, key)

@@ -17,8 +17,12 @@ and no link is lost.
 
 Defined results: null or empty texts and texts of white space have fingerprint
 zero and link like any other; equal rows stay separate rows with one component;
-a null id never names a component that has another id; an empty table gives an
-empty result. Extra columns are ignored.
+a null id, or one that is no integer, never names a component that has another
+id; an empty table gives an empty result. Extra columns are ignored.
+
+``one_per_group`` keeps one row of each component, whatever the ids: that of the
+smallest (id, hash of the text), nulls last; of rows equal in both, that of the
+smallest hash over all columns.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few, look_up, row_id
 
 #: An index entry with more distinct fingerprints than this takes the second index.
 HOT_ENTRY = 64
@@ -78,7 +82,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, mark, fp): one row per input row; fp holds the 64 bits as a long,
     mark tells texts under one doc_id apart."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(text).alias("mark"))
+    rows = docs.select(row_id(key).alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(text).alias("mark"))
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, mark long, fp long")
 
 
@@ -145,20 +149,37 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_ENTRY) -> DataFrame:
-    """One row per input row: doc_id, mark (hash of the text), fp (long), component_id."""
+    """One row per input row: doc_id, mark (hash of the text), fp (long),
+    component_id, component (the smallest fingerprint of the component)."""
     prints = cut(fingerprints(docs, text, key))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     member = cut(connected(links(distinct.select("fp"), hot)))
     named = member.join(distinct, member["node"] == distinct["fp"]).select("fp", "root", "first_id")
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "least_id")
-    class_of = distinct.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(class_of, "fp").select("doc_id", "mark", "fp", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "root", "least_id")
+    class_of = cut(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("component")))
+    return look_up(prints, class_of, ["fp"], "n", prints.count()).select("doc_id", "mark", "fp", "component_id", "component")
+
+
+def keep_first(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (doc_id, mark,
+    component). Texts are shuffled only if a key list has more than FEW_ROWS
+    rows."""
+    held = cut(found.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")))
+    first = held.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")).select("component", "first.doc_id", "first.mark")
+    same = [F.col("a.component") == F.col("b.component"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.mark") == F.col("b.mark")]
+    on = same[0] & same[1] & same[2]
+    drop = cut(held.alias("a").join(first.alias("b"), on, "left_anti").select(F.col("doc_id").alias("_drop_id"), F.col("mark").alias("_drop_mark")))
+    again = cut(held.where("n > 1").alias("a").join(first.alias("b"), on, "left_semi").select(F.col("doc_id").alias("_drop_id"), F.col("mark").alias("_drop_mark")))
+    at = row_id(docs[key]).eqNullSafe(F.col("_drop_id")) & (F.xxhash64(docs[text]) == F.col("_drop_mark"))
+    left = docs.join(few(drop), at, "left_anti")
+    if again.isEmpty():
+        return left
+    whole = [docs[c] for c in docs.columns]
+    one = docs.join(few(again), at, "left_semi")
+    one = one.groupBy(row_id(docs[key]).alias("_id"), F.xxhash64(docs[text]).alias("_mark")).agg(F.min_by(F.struct(*whole), F.xxhash64(F.to_json(F.struct(*whole)))).alias("_row"))
+    return left.join(few(again), at, "left_anti").union(one.select("_row.*"))
 
 
 def one_per_group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents with one of each group left: that with the smallest id; of
-    equal rows one stays. Columns as they came."""
-    found = near_duplicates(docs, text, key)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "mark").distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_kept"]) & (F.xxhash64(docs[text]) == keep["mark"]), "left_semi")
-    return kept.dropDuplicates([key, text])
+    """The documents with one of each component left; columns as they came."""
+    return keep_first(docs, near_duplicates(docs, text, key), text, key)

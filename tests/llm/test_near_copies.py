@@ -5,7 +5,6 @@ import random
 
 import pytest
 
-import corpus_pipeline
 from retrolens.llm import near_copies, simhash
 
 DOC = "doc_id long, text string, score string"
@@ -37,9 +36,9 @@ def plain_components(rows):
     return [least.get(find(k)) for k in range(len(rows))]
 
 
-def edited_rows():
+def edited_rows(groups=40):
     rng, rows = random.Random(7), [(900, None), (901, ""), (902, " \t"), (903, "one"), (904, "ONE "), (905, "one two"), (None, "no id here at all")]
-    for g in range(40):
+    for g in range(groups):
         base = [f"w{rng.randrange(3000)}" for _ in range(200)]
         for c in range(4):
             copy = list(base)
@@ -51,12 +50,41 @@ def edited_rows():
 
 @pytest.mark.parametrize("hot", [64, 2])
 def test_near_copies_against_brute_force(spark, hot):
-    rows = edited_rows()
+    rows = edited_rows(40 if hot == 64 else 12)
     got = near_copies.near_copies(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC).repartition(3), hot=hot).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == sorted((i or -1, c or -1) for (i, _), c in zip(rows, plain_components(rows)))
-    # the fingerprints within two bits leave most of these copies in
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows if i is not None and i < 160], DOC)
-    assert simhash.one_per_group(docs).count() > corpus_pipeline.simhash_near_dedup(spark, docs, "").count()
+
+
+def loose_family(n, edits, seed):
+    """Copies of one text with random edits: most pairs lie about the limit."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.randrange(*edits)):
+            copy[k] = f"x{rng.randrange(100000)}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_members_of_crowded_entries_against_brute_force(spark):
+    """No entry of this family is small, and some members link to few others."""
+    rows = loose_family(70, (0, 9), 5) + [(1000 + i, t) for i, t in loose_family(30, (2, 6), 6)]
+    got = near_copies.near_copies(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC), hot=3).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, c) for (i, _), c in zip(rows, plain_components(rows)))
+
+
+def test_prefix_pairs_miss_no_link(spark):
+    """Alone, the prefix filter meets every pair of linked sets."""
+    rows = loose_family(80, (0, 9), 7)
+    sets = near_copies.shingle_sets([t.encode() for _, t in rows])
+    frame = spark.createDataFrame([(i, [int(x) for x in s.view("int64")]) for i, s in enumerate(sets)], "node long, shingles array<long>")
+    crowd = frame.select("node", frame["node"].alias("c"))
+    met = {(r.a, r.b) for r in near_copies._prefix_pairs(crowd, frame).collect()}
+    plain = [plain_set(t) for _, t in rows]
+    near = {(a, b) for a, b in itertools.combinations(range(80), 2) if 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])}
+    assert near and near <= met
 
 
 def test_a_large_group_is_one_component(spark):
@@ -69,3 +97,16 @@ def test_a_large_group_is_one_component(spark):
 
 def test_no_rows(spark):
     assert near_copies.one_per_group(spark.createDataFrame([], DOC)).count() == 0
+
+
+@pytest.mark.parametrize("operator", [near_copies, simhash])
+def test_one_row_of_each_group(spark, operator):
+    """Repeated ids, null ids, ids that are no integers, equal rows and columns with clashing names."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [("1", text, "b", 1), ("1", text.upper(), "a", 2), ("2", text, "a", 3), ("x", "lone one", "a", 4), (None, "lone one", "a", 5), (None, "lone one", "a", 5), ("7", "other", "b", 6), ("7", "other", "a", 7), ("9", None, "a", 8), ("8", " ", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, component string, node int")
+    got = operator.one_per_group(docs).collect()
+    assert got == operator.one_per_group(docs.repartition(3)).collect() or sorted(r.node for r in got) == sorted(r.node for r in operator.one_per_group(docs.repartition(3)).collect())
+    assert docs.columns == ["doc_id", "text", "component", "node"] == list(got[0].asDict())
+    nodes = sorted(r.node for r in got)
+    assert len(nodes) == 4 and nodes[0] in (1, 2) and nodes[1] in (4, 5) and nodes[2] in (6, 7) and nodes[3] == 9
