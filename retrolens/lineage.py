@@ -9,25 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary
-    one only where the setting is missing, as in local tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where the
+    setting is missing, a temporary one for a local master only: on a cluster
+    the executors wouldn't share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="retrolens-")
         spark.sparkContext.setCheckpointDir(held)
     return held
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder (never localCheckpoint: an executor may go)."""
-    spark = df.sparkSession
-    place = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
+    """Materialise as a table in the shared folder (an executor may go). Unlike a
+    checkpoint, the table doesn't carry over the constraints that the optimiser
+    inferred, which grow exponentially with the rounds of a loop."""
+    place = scratch(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def scratch(spark: SparkSession) -> str:
