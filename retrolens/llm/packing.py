@@ -5,10 +5,12 @@ that global histogram chooses the bucket boundaries that waste the fewest
 padded words for a given number of buckets; inside each bucket, batches of as
 many rows form as keep rows times boundary within the token budget.
 
-The histogram is exact up to ``EXACT`` words; above, a cell spans 1/128 of its
-length, so it has a bounded number of cells (under 8,000 for any length below
-2**40), each with its count, sum and true maximum. Boundaries lie on maxima, so the
-padding the programme minimises is the padding that results.
+The histogram has a row for each distinct length, so the choice is optimal. It is
+collected: D distinct lengths take D * D / 2 words of text at least, so 100 TB
+hold a few million of them at the very most. The cost of a bucket is its upper
+bound times its rows, a line in the bound, so each step of the programme is the
+lower envelope of lines whose slopes and queries both go one way: it takes a time
+in proportion to D for each bucket.
 
 Rows of a bucket are numbered without collecting the bucket: they are dealt
 into shards by hash, numbered within, and shifted by the sizes of the shards
@@ -17,7 +19,7 @@ before. So every batch but a bucket's last is full.
 Defined results: null, empty and blank texts have length 0 and go to the first
 bucket; equal rows are packed separately; a text longer than the budget has a
 batch of its own; ties in length share a bucket; an empty table gives an empty
-result. Extra columns are ignored.
+result. An id that is no integer is carried as null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +28,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_id
 
 BUCKETS, TOKEN_BUDGET = 16, 65_536
-#: Lengths up to here have a cell of their own.
-EXACT = 2048
 #: Rows of a shard, about.
 SHARD_ROWS = 20_000
 
@@ -40,61 +40,59 @@ def length_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _cell(length: Column) -> Column:
-    """The smallest length of the cell that a length falls into."""
-    size = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(length)) - 8)).cast("long")
-    return F.when(length <= EXACT, length).otherwise(length - length % size)
-
-
-def best_boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of the buckets with the least padding. top, count, total:
-    each cell's largest length, its rows and their summed length, ascending."""
-    n = len(top)
-    if not n:
+def best_boundaries(lengths: list[int], count: list[int], buckets: int) -> list[int]:
+    """Upper bounds of the buckets with the least padding; ``lengths`` ascending
+    and distinct, each with its number of rows."""
+    n = len(lengths)
+    if not n or buckets < 1:
         return []
-    rows, words = np.concatenate([[0], np.cumsum(count)]).astype(np.float64), np.concatenate([[0], np.cumsum(total)]).astype(np.float64)
-    top = top.astype(np.float64)
+    rows = [0]
+    for c in count:
+        rows.append(rows[-1] + c)
     k = min(buckets, n)
-    # cost of cells i..j-1 as one bucket: top[j-1] * (rows[j] - rows[i]) - (words[j] - words[i])
-    best = top * rows[1:] - words[1:]
-    choice = np.zeros((k, n), np.int32)
+    # best[j]: least sum of bound times rows over the first j lengths; the words themselves are the same in any case
+    best = [0, *(lengths[j] * rows[j + 1] for j in range(n))]
+    choice = np.zeros((k, n + 1), np.int32)
     for b in range(1, k):
-        new = np.empty(n)
-        for j in range(n):  # the last bucket of cells 0..j begins after cell i
-            if j < b:
-                new[j], choice[b, j] = best[j], -1
-                continue
-            costs = best[b - 1 : j] + top[j] * (rows[j + 1] - rows[b : j + 1]) - (words[j + 1] - words[b : j + 1])
-            i = int(np.argmin(costs))
-            new[j], choice[b, j] = costs[i], i + b - 1
-            if best[j] <= new[j]:  # fewer buckets do as well
-                new[j], choice[b, j] = best[j], -1
+        new, line, slope, at, head = [0] * (n + 1), [], [], [], 0
+        for j in range(b + 1, n + 1):
+            # a last bucket that begins after i lengths costs line - slope * x at the bound x
+            i = j - 1
+            here, fall = best[i], rows[i]
+            x = lengths[j - 1]
+            while len(line) - head > 1 and (here - line[-2]) * (slope[-1] - slope[-2]) <= (line[-1] - line[-2]) * (fall - slope[-2]):
+                line.pop()
+                slope.pop()
+                at.pop()
+            line.append(here)
+            slope.append(fall)
+            at.append(i)
+            while len(line) - head > 1 and line[head + 1] - slope[head + 1] * x < line[head] - slope[head] * x:
+                head += 1
+            new[j] = line[head] - slope[head] * x + x * rows[j]
+            choice[b, j] = at[head]
         best = new
-    bounds, j, b = [int(top[n - 1])], n - 1, k - 1
-    while b > 0:
-        i = int(choice[b, j])
-        if i >= 0:
-            bounds.append(int(top[i]))
-            j = i
-        b -= 1
+    bounds, j = [], n
+    for b in range(k - 1, -1, -1):
+        bounds.append(lengths[j - 1])
+        j = int(choice[b, j])
     return bounds[::-1]
 
 
-def histogram(lengths: DataFrame, length: str = "n") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the global histogram: largest length, rows, summed length."""
-    cells = lengths.groupBy(_cell(F.col(length)).alias("cell")).agg(F.max(length), F.count(F.lit(1)), F.sum(length)).orderBy("cell").collect()
-    got = np.array([tuple(r)[1:] for r in cells], dtype=np.int64).reshape(-1, 3)
-    return got[:, 0], got[:, 1], got[:, 2]
+def histogram(lengths: DataFrame, length: str = "n") -> tuple[list[int], list[int]]:
+    """The global histogram: distinct lengths and their rows."""
+    got = lengths.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("rows")).toArrow().sort_by("length")
+    return got.column("length").to_pylist(), got.column("rows").to_pylist()
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, bucket, bucket_words, batch, place, padding): one row
     per input row. bucket: from 0, ascending; bucket_words: its upper bound;
     batch: number within the bucket; place: row within the batch."""
-    rows = cut(docs.select(F.col(key).cast("long").alias("doc_id"), length_of(text).alias("n_words")))
-    top, count, total = histogram(rows, "n_words")
-    bounds = best_boundaries(top, count, total, buckets)
-    n = int(count.sum())
+    rows = cut(docs.select(row_id(key).alias("doc_id"), length_of(text).alias("n_words")))
+    lengths, count = histogram(rows, "n_words")
+    bounds = best_boundaries(lengths, count, buckets)
+    n = sum(count)
     shards = max(1, -(-n // SHARD_ROWS))
     bucket, upper = F.lit(0), F.lit(bounds[0] if bounds else 0)
     for i, b in enumerate(bounds[:-1]):
