@@ -11,8 +11,10 @@ by host and shape, so that all further work is on that small table. Level by
 level, below each prefix, a prefix merges its variable segments into the wildcard
 ``*``: of several children, however many, those whose labelled rate of bad pages doesn't differ from that of all children of
 the prefix (a two-sided z-test at ``Z``) are merged into the branch ``*`` as
-well, and only those that differ keep a branch of their own. The levels end
-where no address has a further segment.
+well, and only those that differ keep a branch of their own. An only child keeps
+its name. There is no limit to the depth: an address leaves the rounds where it
+ends or is the only one left below its prefix, since what follows has one child
+at each level.
 
 A template is rejected if its smoothed purity, (bad + PRIOR_WEIGHT * rate) /
 (labelled + PRIOR_WEIGHT) with the rate of all labelled pages, is at least
@@ -22,7 +24,8 @@ with its id.
 Defined results: null urls and urls without ``://`` have an empty host and path
 and share a template; equal rows are judged alike, each by itself; without
 labels nothing is rejected; labels of one id that disagree count as bad if any
-is; an empty table gives an empty result; extra columns are ignored.
+is; an id that is no integer is carried as null; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, look_up, row_id
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -71,46 +74,64 @@ def _shapes(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
 
 
+def _branches(children: DataFrame) -> DataFrame:
+    """(host, template, segment, rows, branch, held): the branch that each child
+    of a prefix goes to, and the addresses that the branch holds. ``children``:
+    (host, template, segment, rows, l, b), one row each, with labelled and bad
+    pages."""
+    parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.sum("rows").alias("all_rows"))
+    both = look_up(children, cut(parents), ["host", "template"], "kinds", children.count())
+    rate = F.col("all_b") / F.greatest(F.col("all_l"), F.lit(1))
+    spread = F.sqrt(rate * (1 - rate) / F.greatest(F.col("l"), F.lit(1)))
+    differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - rate) > Z * spread)
+    named = both.withColumn("own", (F.col("kinds") == 1) | differs | (F.col("segment") == "*"))
+    stars = named.where(~F.col("own")).groupBy("host", "template").agg(F.sum("rows").alias("merged"), F.count(F.lit(1)).alias("n"))
+    own = named.where("own").select("host", "template", "segment", "rows", F.col("segment").alias("branch"), F.when(F.col("segment") == "*", F.col("all_rows")).otherwise(F.col("rows")).alias("held"))
+    rest = look_up(named.where(~F.col("own")).select("host", "template", "segment", "rows"), cut(stars), ["host", "template"], "n", children.count())
+    return own.unionByName(rest.select("host", "template", "segment", "rows", F.lit("*").alias("branch"), F.col("merged").alias("held")))
+
+
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, shapes, template, n, labelled, bad, purity): each address shape of
-    ``pages`` (page_id, host, shapes) with the template it was merged into."""
-    rated = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    """(host, shapes, template, n, labelled, bad, purity, pages): each address
+    shape of ``pages`` (page_id, host, shapes) with its number of pages and the
+    template it was merged into."""
+    rated = labels.groupBy(row_id("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     counted = pages.select("page_id", "host", "shapes").join(rated, "page_id", "left")
     tree = counted.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = cut(tree.withColumn("template", F.array().cast("array<string>")))
-    levels = tree.agg(F.max(F.size("shapes"))).first()[0] or 0
-    for level in range(levels):
-        segment = F.get("shapes", level)
-        children = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-        rate = F.col("all_b") / F.greatest(F.col("all_l"), F.lit(1))
-        spread = F.sqrt(rate * (1 - rate) / F.greatest(F.col("l"), F.lit(1)))
-        differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - rate) > Z * spread)
-        alone = F.col("kinds") == 1
-        keeps = alone | differs
-        branch = F.when(keeps, F.col("segment")).otherwise(F.lit("*"))
-        named = children.join(parents, ["host", "template"]).select(F.col("host").alias("_host"), F.col("template").alias("_under"), F.col("segment").alias("_segment"), branch.alias("_branch"))
-        on = (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_under")) & (segment == F.col("_segment"))
-        grown = F.when(F.col("_branch").isNull(), F.col("template")).otherwise(F.concat("template", F.array("_branch")))
-        tree = tree.join(named, on, "left").select("host", "shapes", "n", "labelled", "bad", grown.alias("template"))
-        if level % 4 == 3:  # a plan of many levels would grow too long
-            tree = cut(tree)
+    grow = cut(tree.withColumn("template", F.array().cast("array<string>")))
+    total = grow.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("rows")).first()
+    rate, left = total["b"] / total["l"] if total["l"] else 0.0, total["rows"]
+    columns, done, level = ["host", "shapes", "n", "labelled", "bad", "template"], [], 0
+    while left:
+        segment = F.get("shapes", F.lit(level))
+        children = cut(grow.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.count(F.lit(1)).alias("rows"), F.sum("labelled").alias("l"), F.sum("bad").alias("b")))
+        named = cut(_branches(children))
+        done.append(grow.where(segment.isNull()))
+        level += 1
+        more = look_up(grow.where(segment.isNotNull()).withColumn("segment", segment), named, ["host", "template", "segment"], "rows", left)
+        more = cut(more.withColumn("template", F.concat("template", F.array("branch"))).select(*columns, "held"))
+        tail = F.slice("shapes", F.lit(level + 1), F.greatest(F.size("shapes") - level, F.lit(0)))  # beyond the end it is empty
+        done.append(more.where("held = 1").withColumn("template", F.concat("template", tail)).select(*columns))
+        grow = more.where("held > 1").select(*columns)
+        left = grow.count()
+    tree = grow.select(*columns) if not done else done[0]
+    for part in done[1:]:
+        tree = tree.unionByName(part)
     tree = cut(tree.withColumn("template", F.concat_ws("/", "template")))
-    total = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
-    rate = total["b"] / total["l"] if total["l"] else 0.0
-    merged = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    merged = merged.withColumn("purity", (F.col("bad") + PRIOR_WEIGHT * rate) / (F.col("labelled") + PRIOR_WEIGHT))
-    return tree.select("host", "template", "shapes").join(merged, ["host", "template"])
+    merged = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("rows"))
+    merged = cut(merged.withColumn("purity", (F.col("bad") + PRIOR_WEIGHT * rate) / (F.col("labelled") + PRIOR_WEIGHT)))
+    return look_up(tree.select("host", "template", "shapes", F.col("n").alias("pages")), merged, ["host", "template"], "rows", total["rows"]).drop("rows")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity), a row per input row."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("_url"))
+    rows = pages.select(row_id(key).alias("page_id"), F.col(url).alias("_url"))
     host, path = host_and_path(F.col("_url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("shapes", _shapes(F.col("path")))
-    learnt = templates(rows, labels).select("host", "shapes", "template", "purity")
+    learnt = cut(templates(rows, labels).select("host", "shapes", "template", "purity", "pages"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = rows.join(learnt, ["host", "shapes"])
+    total = learnt.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    judged = look_up(rows, learnt, ["host", "shapes"], "pages", total)
     by_tree = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, by_tree).alias("verdict"), "template", "purity")
