@@ -18,8 +18,8 @@ __all__ = ["CHUNK_BYTES", "byte_words", "chunks", "cut", "few", "look_up", "mix"
 
 #: A key is hot if it holds more than one row in so many; so there are fewer hot keys than this.
 HOT_KEYS = 10_000
-#: Rows of keys and numbers that may be broadcast, by count (some 64 MB at most).
-FEW_ROWS = 1 << 20
+#: Rows of keys and numbers that may be broadcast, by count (some 20 MB at most).
+FEW_ROWS = 1 << 18
 
 #: Bytes of text that one numpy chunk holds at most, a longer document alone excepted.
 CHUNK_BYTES = 1 << 20
@@ -51,18 +51,19 @@ def row_id(key: str | Column) -> Column:
 def few(keys: DataFrame) -> DataFrame:
     """``keys``, materialised and of short rows, to be broadcast if they have been
     counted and are few."""
-    return F.broadcast(keys) if keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS else keys
+    return F.broadcast(keys) if keys.count() <= FEW_ROWS else keys
 
 
 def look_up(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """Inner join of ``rows`` (``total`` of them) with ``table``, materialised, one
-    row a key, whose column ``n`` counts the rows of the key. Rows of hot keys
-    meet the table where they lie: fewer than HOT_KEYS keys hold more than one row
-    in HOT_KEYS, so those are broadcast; the others are joined by a shuffle."""
-    hot = cut(table.where(F.col(n) > total // HOT_KEYS + 1))
+    short row a key, whose column ``n`` counts the rows of the key. A table that
+    has been counted and is small is broadcast. Else rows of hot keys meet it
+    where they lie: fewer than HOT_KEYS keys hold more than one row in HOT_KEYS,
+    so those are broadcast; the others are joined by a shuffle."""
+    if table.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(table), on)
+    hot = table.where(F.col(n) > total // HOT_KEYS + 1)
     rest = table.where(F.col(n) <= total // HOT_KEYS + 1)
-    if hot.isEmpty():
-        return rows.join(rest, on)
     lone = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(lone.join(rest, on))
 

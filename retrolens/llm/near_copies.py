@@ -22,7 +22,7 @@ candidate is verified on the whole shingle sets, so no pair below the limit
 links. Texts with one set count once.
 
 Only components are wanted, so an entry isn't expanded into pairs at first: its
-members are verified against one of them. Entries whose members are one component
+members are verified against ``LEADERS`` of them. Entries whose members are one component
 by then are done. In the others, members of different components are verified
 pair by pair where the entry holds ``hot`` sets at most. The members of larger
 ones are taken together and joined by a prefix filter, which misses no pair: two
@@ -52,8 +52,8 @@ WORDS, LEAST_PERCENT = 5, 80
 SEGMENTS, PLACES = 12, 6
 #: An entry with more distinct sets than this isn't expanded into pairs.
 HOT_ENTRY = 64
-#: Further rounds in which larger entries are verified against one member each.
-ROUNDS = 2
+#: Members of an entry that all others are verified against at first.
+LEADERS = 4
 
 _SEEDS = mix(np.arange(1, 2 * SEGMENTS * PLACES + 1, dtype=np.uint64))
 _FACTORS, _SHIFTS = _SEEDS[: SEGMENTS * PLACES] | np.uint64(1), _SEEDS[SEGMENTS * PLACES :]
@@ -129,14 +129,11 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], _lists(sets)], names=["node", "shingles"])
 
 
-def _with_sets(nodes: DataFrame, rows: DataFrame, distinct: DataFrame, sets: DataFrame | None) -> DataFrame:
-    """``sets`` (node, shingles) with those of further ``nodes``."""
-    if sets is not None:
-        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+def _sets(nodes: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, shingles) of distinct ``nodes``."""
     wanted = cut(nodes.join(distinct, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")))
     texts = rows.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "body")
-    new = cut(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]))
-    return new if sets is None else sets.unionByName(new)
+    return cut(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,13 +158,15 @@ def _apart(shared: DataFrame, member: DataFrame) -> DataFrame:
     return cut(look_up(held.drop("n"), cut(several), ["entry"], "n", shared.count()))
 
 
-def _stars(shared: DataFrame, turn: int) -> DataFrame:
-    """Each member of an entry with one member, of another component. Which one
-    follows from a hash of its component and itself, another one each turn."""
-    lead = shared.groupBy("entry").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "size", "c")).alias("l"), F.first("n").alias("n"))
-    lead = cut(lead.select("entry", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"), F.col("l.c").alias("c_b"), "n"))
-    pairs = look_up(shared.select("entry", F.col("node").alias("a"), "size", "c"), lead, ["entry"], "n", shared.count())
-    return pairs.where("c <> c_b").select("a", "size", "b", "size_b")
+def _stars(shared: DataFrame) -> DataFrame:
+    """Each member of an entry with the entry's LEADERS members of least hash, by
+    a hash of their own each."""
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "size")).alias(f"l{k}") for k in range(LEADERS)]
+    lead = shared.groupBy("entry").agg(*least, F.first("n").alias("n"))
+    some = F.array_distinct(F.array(*[F.struct(F.col(f"l{k}.node").alias("b"), F.col(f"l{k}.size").alias("size_b")) for k in range(LEADERS)]))
+    lead = cut(lead.select("entry", "n", some.alias("some")))
+    met = look_up(shared.select("entry", F.col("node").alias("a"), "size"), lead, ["entry"], "n", shared.count())
+    return met.select("a", "size", F.explode("some").alias("x")).select("a", "size", "x.b", "x.size_b").where("a <> b")
 
 
 def _pairs(shared: DataFrame) -> DataFrame:
@@ -198,33 +197,18 @@ def _members(distinct: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
     entries = distinct.select("node", "size", F.explode("entries").alias("entry"))
     counted = cut(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = cut(look_up(entries, counted, ["entry"], "n", counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).withColumn("c", F.col("node")))
-    edges, sets = None, None
-
-    def grown(pairs: DataFrame) -> DataFrame:
-        nonlocal edges, sets
-        pairs = _ordered(pairs)
-        if edges is not None and pairs.isEmpty():
-            return member
-        sets = _with_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, distinct, sets)
-        found = _verified(pairs, sets)
-        edges = found if edges is None else cut(edges.unionByName(found))
-        return cut(connected(edges))
-
-    member = grown(_stars(shared, 0))
+    sets = _sets(shared.select("node").distinct(), rows, distinct)
+    edges = _verified(_ordered(_stars(shared)), sets)
+    member = cut(connected(edges))
     shared = _apart(shared, member)
-    large = shared.where(F.col("n") > hot)
-    if not shared.isEmpty():
-        member = grown(_pairs(shared.where(F.col("n") <= hot)).unionByName(_stars(large, 1)))
-    for turn in range(2, 2 + ROUNDS):
-        large = _apart(large, member)
-        if large.isEmpty():
-            return member
-        member = grown(_stars(large, turn))
-    crowd = cut(_apart(large, member).select("node", "c").distinct())
-    if crowd.isEmpty():
+    if shared.isEmpty():
         return member
-    sets = _with_sets(crowd.select("node"), rows, distinct, sets)
-    return grown(_prefix_pairs(crowd, sets))
+    more = _pairs(shared.where(F.col("n") <= hot))
+    crowd = cut(shared.where(F.col("n") > hot).select("node", "c").distinct())
+    if not crowd.isEmpty():
+        more = more.unionByName(_prefix_pairs(crowd, sets))
+    found = _verified(_ordered(more), sets)
+    return member if found.isEmpty() else cut(connected(edges.unionByName(found)))
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_ENTRY) -> DataFrame:
