@@ -12,8 +12,8 @@ import argparse
 import sys
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from retrolens import engine
 from retrolens.shipping import ship
@@ -29,12 +29,16 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--procedures", default="", help="a script with CREATE PROCEDURE statements")
     p.add_argument("--foreign-key", action="append", default=[], metavar="CHILD.COL=PARENT.COL")
     p.add_argument("--auto", action="append", default=[], metavar="TABLE=COLUMN", help="auto-increment keys")
+    p.add_argument("--snapshot", default="", metavar="GID,FOLDER", help="tables (name, row) after a gid before the change")
+    p.add_argument("--final", default="", metavar="FOLDER", help="tables (name, row) after the whole log")
     p.add_argument("-s", "--start", type=int)
     p.add_argument("-e", "--end", type=int)
+    p.add_argument("--limit", type=int, default=0, help="rows that view and replay print at most; all if 0")
     p.add_argument("--dry-run", action="store_true", help="plan only, write nothing")
     p.add_argument("actions")
     a = p.parse_args(args)
     held = config.load(a.config)
+    show = lambda df: df.show(a.limit or 2**31 - 1, truncate=False)
     if held is None:
         print(f"{a.config} is no usable configuration", file=sys.stderr)
         return 2
@@ -45,13 +49,15 @@ def main(args: list[str] | None = None) -> int:
     w = engine.WhatIf(spark, held, [pair(x) for x in a.foreign_key], procs, dict(map(pair, a.auto)))
     log = window(spark.read.parquet(a.log), a.start, a.end)
     access = spark.read.parquet(f"{a.out}/access") if a.out and (("make_cluster" not in a.actions) and _there(spark, f"{a.out}/access")) else w.analyse(log)
+    at, _, held_at = a.snapshot.partition(",")
+    snapshot = (spark.read.parquet(held_at) if held_at else None, int(at or -1), spark.read.parquet(a.final) if a.final else None)
     targets: list[int] = []
     added: dict[int, list[str]] = {}
     plan = None
     for action in a.actions.split(":"):
         name, _, value = action.partition("=")
         if name == "view":
-            log.orderBy("gid", "q").select("gid", "q", F.substring("statement", 1, 120).alias("statement")).show(1000, truncate=False)
+            show(log.orderBy("gid", "q").select("gid", "q", "statement"))
         elif name == "make_cluster":
             if a.out and not a.dry_run:
                 access.write.mode("overwrite").parquet(f"{a.out}/access")
@@ -76,8 +82,9 @@ def main(args: list[str] | None = None) -> int:
         if action in a.actions.split(":"):
             plan = plan or engine.load_plan(spark, f"{a.out}/plan")
             if action == "replay":
-                state, changes = w.what_if(log, access, plan)
-                changes.show(1000, truncate=False)
+                out = w.what_if(log, access, plan, *snapshot)
+                state = out.state
+                show(out.changes)
             else:
                 state = w.state(w.changed_log(log, plan), w.components(access)).select("name", "row")
             if a.out and not a.dry_run:
@@ -88,7 +95,9 @@ def main(args: list[str] | None = None) -> int:
 def _there(spark: SparkSession, place: str) -> bool:
     try:
         spark.read.parquet(place)
-    except Exception:  # noqa: BLE001  any reason not to find it
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 

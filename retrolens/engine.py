@@ -7,7 +7,14 @@ key accesses.
 
 Keys in a plan are points. A statement that fixes no point of a key column (an
 interval, a scan) meets every access of that column, which is sound; exact
-interval matching is in ``operators.conflict`` and ``operators.cluster``.
+interval matching is in ``operators.conflict`` and ``operators.cluster``. A
+statement that touches a table by none of its key columns meets every access of
+that table: the table as a whole (``t.*``) then counts as a key that is scanned.
+
+A replay is selective: it starts from a stored state (a snapshot after some gid
+before the change) and runs only transactions of the components that the change
+touches in the log since then. Rows of other components are those of the
+original final state, which a live database has anyway.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrolens.functions.intervals import Range
-from retrolens.lineage import cut
+from retrolens.lineage import cut, scratch
 from retrolens.operators import cluster, depend, diff, executor
 from retrolens.operators.access import Access, accesses, union
 from retrolens.operators.procedures import Procedure
@@ -32,13 +39,15 @@ from retrolens.sources.config import Config
 
 ACCESS = "gid long, rw string, what string, column string, point string"
 STATE = "component string, name string, row string"
+#: (name, row): rows of tables, as JSON with sorted keys.
+TABLES = "name string, row string"
 
 
 @dataclass(frozen=True)
 class Plan:
     """gids to replay, with the counters of a report."""
 
-    targets: list[int]
+    targets: list[int] | DataFrame
     added: dict[int, list[str]]
     decision: DataFrame
 
@@ -49,8 +58,11 @@ class Plan:
         """The plan as tables in a folder."""
         spark = self.decision.sparkSession
         self.gids().write.mode("overwrite").parquet(f"{place}/replay")
-        made = [(g, "rollback", None, None) for g in self.targets] + [(g, "prepend", i, s) for g, ss in self.added.items() for i, s in enumerate(ss)]
-        spark.createDataFrame(made, "gid long, kind string, q int, statement string").write.mode("overwrite").parquet(f"{place}/changes")
+        kinds = "gid long, kind string, q int, statement string"
+        gone = spark.createDataFrame([(g,) for g in self.targets], "gid long") if isinstance(self.targets, list) else self.targets
+        made = spark.createDataFrame([(g, "prepend", i, s) for g, ss in self.added.items() for i, s in enumerate(ss)], kinds)
+        made = made.unionByName(gone.select("gid", F.lit("rollback").alias("kind")), allowMissingColumns=True)
+        made.write.mode("overwrite").parquet(f"{place}/changes")
 
 
 def load_plan(spark: SparkSession, place: str) -> Plan:
@@ -98,6 +110,10 @@ class WhatIf:
             for c in columns:
                 yield gid, rw, "column", c, None
         wanted = {self.relations.chain(k) for k in self.keys}
+        by_key = {c.split(".")[0] for items in (a.read_items, a.write_items) for c in items if self.relations.chain(c) in wanted}
+        for rw, columns in (("R", a.reads), ("W", a.writes)):
+            for t in {c.split(".")[0] for c in columns} - by_key:
+                yield gid, rw, "item", f"{t}.*", None
         for rw, items in (("R", a.read_items), ("W", a.write_items)):
             for c, r in items.items():
                 if (name := self.relations.chain(c)) in wanted:
@@ -115,7 +131,16 @@ class WhatIf:
                 out = [row for gid, text in zip(f["gid"], f["statement"], strict=True) for row in engine._rows(int(gid), engine.access_of(text))]
                 yield pd.DataFrame(out, columns=names).astype({"gid": "int64"})
 
-        return log.select("gid", "statement").mapInPandas(run, ACCESS).distinct()
+        found = cut(log.select("gid", "statement").mapInPandas(run, ACCESS).distinct())
+        return self._with_whole_tables(found)
+
+    def _with_whole_tables(self, access: DataFrame) -> DataFrame:
+        """Where some transaction touches a table by no key, each access of it
+        meets the table as a whole."""
+        whole = [r.column[:-2] for r in access.where("what = 'item' AND column LIKE '%.*'").select("column").distinct().collect()]  # tables
+        table = F.substring_index("column", ".", 1)
+        more = access.where(F.col("what") == "column").where(table.isin(whole)).select("gid", "rw", F.lit("item").alias("what"), F.concat(table, F.lit(".*")).alias("column"), F.lit(None).cast("string").alias("point"))
+        return access.union(more).distinct() if whole else access
 
     def _portable(self) -> WhatIf:
         """This engine without the session, for workers."""
@@ -125,13 +150,14 @@ class WhatIf:
 
     # ---- planning ----
 
-    def plan(self, access: DataFrame, targets: list[int], added: dict[int, list[str]] | None = None, strict_row_gate: bool = False) -> Plan:
-        """What must run again if the targets are removed and the added
-        statements run before the gids that they are given for."""
+    def plan(self, access: DataFrame, targets: list[int] | DataFrame, added: dict[int, list[str]] | None = None, strict_row_gate: bool = False) -> Plan:
+        """What must run again if the targets (gids, or a table of them) are
+        removed and the added statements run before the gids that they are
+        given for."""
         added = added or {}
         access = cut(access)
         log = cut(depend.by_transaction(access.where("what = 'column'").select("gid", "rw", "column")))
-        extra = [row for g, texts in added.items() for t in texts for row in self._rows(g, self.access_of(t))]
+        extra = self._extra(access, added)
         taints: dict[str, int] = {}
         for g, rw, what, c, _ in extra:
             if what == "column" and rw == "W":
@@ -141,43 +167,72 @@ class WhatIf:
         halves = items.withColumn("gid", F.col("gid") * 2)
         if mine := [(g * 2 - 1, rw, c, p) for g, rw, what, c, p in extra if what == "item"]:
             halves = halves.unionByName(self.spark.createDataFrame(mine, "gid long, rw string, column string, point string"))
-        seeds = [g * 2 for g in targets] + [g * 2 - 1 for g in added]
+        seeds = self._gids(targets).select((F.col("gid") * 2).alias("gid")).union(self._gids([g * 2 - 1 for g in added]))
         matched = depend.row_closure(_pseudo_keys(halves), seeds, ["column", "point"]).where("gid % 2 = 0").select((F.col("gid") / 2).cast("long").alias("gid"))
-        matched = cut(matched.where(~F.col("gid").isin(targets)))
+        matched = cut(depend.without(matched, targets))
         taint = depend.earliest_taint(log, targets, self.relations, matched, {c: g - 1 for c, g in taints.items()})
-        return Plan(sorted(targets), added, cut(depend.decide(log, items, matched, taint, self.relations, targets, strict_row_gate)))
+        return Plan(sorted(targets) if isinstance(targets, list) else targets, added, cut(depend.decide(log, items, matched, taint, self.relations, targets, strict_row_gate)))
+
+    def _gids(self, gids: list[int] | DataFrame) -> DataFrame:
+        return self.spark.createDataFrame([(g,) for g in gids], "gid long") if isinstance(gids, list) else gids.select("gid")
+
+    def _extra(self, access: DataFrame, added: dict[int, list[str]]) -> list[tuple]:
+        """Accesses of the added statements, with the tables that go as a whole."""
+        rows = [row for g, texts in added.items() for t in texts for row in self._rows(g, self.access_of(t))]
+        if not rows:
+            return []
+        whole = {r.column for r in access.where("what = 'item' AND column LIKE '%.*'").select("column").distinct().collect()}  # tables
+        more = {(g, rw, "item", f"{c.split('.')[0]}.*", None) for g, rw, what, c, _ in rows if what == "column"}
+        return sorted({*rows, *(x for x in more if x[3] in whole)}, key=str)
 
     def auto_plan(self, access: DataFrame, ratio: float) -> Plan:
         """A plan for a share of all transactions, evenly spread; for reports."""
         gids = cut(access.select(F.col("gid").alias("event"), F.floor(F.col("gid") / 1_000_000).alias("_block")).distinct())
-        places = depend.spread_indices(gids.count(), ratio)
         ranked = statelog.numbered(gids, "_block", ["event"])  # its gid is the place
-        return self.plan(access, [r.event for r in ranked.where(F.col("gid").isin(places)).select("event").collect()])
+        return self.plan(access, cut(depend.spread_places(ranked, gids.count(), ratio, "gid").select(F.col("event").alias("gid"))))
 
     @staticmethod
     def report(plan: Plan) -> DataFrame:
         """One row: total, replayed, percent, first gid."""
         n = F.count(F.when(F.col("replay"), 1))
-        total = F.count(F.lit(1)) + len(plan.targets)
+        total = F.count(F.lit(1)) + (len(plan.targets) if isinstance(plan.targets, list) else plan.targets.count())
         return plan.decision.agg(total.alias("total"), n.alias("replayed"), F.round(F.try_divide(100.0 * n, total), 4).alias("percent"), F.min(F.when(F.col("replay"), F.col("gid"))).alias("first_gid"))
 
     # ---- replay ----
 
-    def components(self, access: DataFrame) -> DataFrame:
-        """(gid, component): transactions that share no key, however indirectly,
-        are apart and can be replayed apart. Key columns that some statement
-        scans tie all their transactions together."""
-        items = access.where("what = 'item'")
-        scanned = [r.column for r in items.where("point IS NULL").select("column").distinct().collect()]  # key columns
-        node = F.when(F.col("column").isin(scanned) | F.col("point").isNull(), F.concat(F.lit("k:"), F.col("column"))).otherwise(F.concat(F.lit("k:"), F.col("column"), F.lit("="), F.col("point")))
-        edges = items.select(F.concat(F.lit("t:"), F.col("gid").cast("string")).alias("b"), node.alias("a")).distinct()
-        found = cluster.components(edges.select("a", "b"))
-        return found.where("node LIKE 't:%'").select(F.substring("node", 3, 20).cast("long").alias("gid"), F.col("root").alias("component"))
-
-    def state(self, log: DataFrame, parts: DataFrame) -> DataFrame:
+    def _row_nodes(self, rows: DataFrame, scanned: list[str]) -> DataFrame:
+        """``rows`` (name, row, ...) with the keys that each stands on."""
+        fields = rows.select("name", F.explode(F.map_keys(F.from_json("row", "map<string,string>"))).alias("c")).distinct().collect()  # the schema
+        wanted = {self.relations.chain(k) for k in self.keys}
+        names = {f"{r.name}.{r.c}": self.relations.chain(f"{r.name}.{r.c}") for r in fields}
+        names = {c: n for c, n in names.items() if n in wanted}
+        known = F.create_map(*[F.lit(x) for c, n in sorted(names.items()) for x in (c, n)]) if names else F.create_map().cast("map<string,string>")
+        entry = F.transform(F.map_entries(F.from_json("row", "map<string,string>")), lambda e: F.struct(F.try_element_at(known, F.concat("name", F.lit("."), e["key"])).alias("key"), e["value"].alias("value")))
+        nodes = F.transform(F.filter(entry, lambda e: e["key"].isNotNull() & e["value"].isNotNull()), lambda e: _node(e["key"], e["value"], scanned))
+        whole = F.concat("name", F.lit(".*"))
+        return rows.withColumn("nodes", F.when(whole.isin(scanned), F.array_append(nodes, F.concat(F.lit("k:"), whole))).otherwise(nodes))
+
+    @staticmethod
+    def _scanned(access: DataFrame) -> list[str]:
+        return [r.column for r in access.where("what = 'item' AND point IS NULL").select("column").distinct().collect()]  # key columns and tables
+
+    def components(self, access: DataFrame, start: DataFrame | None = None) -> DataFrame:
+        """(node, component) of transactions (``t:gid``) and keys (``k:...``): what
+        shares no key, however indirectly, is apart and can be replayed apart. A
+        key column that some statement scans ties all its transactions together,
+        and a row of ``start`` (name, row) the keys that it stands on."""
+        items, scanned = access.where("what = 'item'"), self._scanned(access)
+        edges = items.select(F.concat(F.lit("t:"), F.col("gid").cast("string")).alias("b"), _node(F.col("column"), F.col("point"), scanned).alias("a")).distinct()
+        if start is not None:
+            held = self._row_nodes(start, scanned).where(F.size("nodes") > 1).select(F.get("nodes", F.lit(0)).alias("b"), F.explode("nodes").alias("a"))
+            edges = edges.unionByName(held.where("a <> b").distinct())
+        return cluster.components(edges.select("a", "b")).select("node", F.col("root").alias("component"))
+
+    def state(self, log: DataFrame, parts: DataFrame, start: DataFrame | None = None) -> DataFrame:
         """(component, name, row): the tables after running the statements of
-        each component in order; rows as JSON with sorted keys. Transactions
-        without a key run in a component of their own."""
+        each component in order, from the rows of ``start`` (component, name,
+        row) on; rows as JSON with sorted keys. A transaction that touches no
+        table runs alone."""
         engine = self._portable()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,6 +248,9 @@ class WhatIf:
                         if at is not None:
                             yield rows()
                         at, tables = r.component, executor.Tables(engine.auto)
+                    if pd.notna(r.row):
+                        tables.load(r.name, json.loads(r.row))
+                        continue
                     if pd.notna(r.insert_id):
                         for t in engine.auto:
                             tables.next_id[t] = int(r.insert_id) - 1
@@ -207,32 +265,68 @@ class WhatIf:
             log = log.withColumn("sub", F.lit(1))
         if "insert_id" not in log.columns:
             log = log.withColumn("insert_id", F.lit(None).cast("long"))
-        dealt = log.join(parts, "gid", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("t:"), F.col("gid").cast("string"))))
-        dealt = dealt.repartition("component").sortWithinPartitions("component", "gid", "sub", "q")
-        return dealt.select("component", "statement", F.col("insert_id").cast("long").alias("insert_id")).mapInPandas(run, STATE)
+        of = parts.where("node LIKE 't:%'").select(F.substring("node", 3, 20).cast("long").alias("gid"), "component")
+        dealt = log.join(of, "gid", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("t:"), F.col("gid").cast("string"))))
+        dealt = dealt.select("component", "gid", "sub", "q", "statement", F.col("insert_id").cast("long").alias("insert_id"))
+        none = self.spark.createDataFrame([], STATE) if start is None else start.select("component", "name", "row")
+        dealt = dealt.unionByName(none, allowMissingColumns=True).repartition("component").sortWithinPartitions("component", "gid", "sub", "q", "row")  # rows of the start have no gid and come first
+        return dealt.select("component", "statement", "insert_id", "name", "row").mapInPandas(run, STATE)
 
     def changed_log(self, log: DataFrame, plan: Plan) -> DataFrame:
         """The log as the change would have it."""
-        base = log.where(~F.col("gid").isin(plan.targets)).withColumn("sub", F.lit(1))
+        base = depend.without(log, plan.targets).withColumn("sub", F.lit(1))
         made = [(g, i, s, 0) for g, texts in plan.added.items() for i, s in enumerate(texts)]
         return base.unionByName(self.spark.createDataFrame(made, "gid long, q int, statement string, sub int"), allowMissingColumns=True) if made else base
 
-    def what_if(self, log: DataFrame, access: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-        """(state, differences): the tables after the change, and rows that only
-        the original (left) or only the changed state (right) holds. Components
-        without a target keep their rows and aren't run again."""
-        extra = [row for g, texts in plan.added.items() for t in texts for row in self._rows(g, self.access_of(t))]
+    def placed(self, tables: DataFrame, parts: DataFrame, scanned: list[str]) -> DataFrame:
+        """``tables`` (name, row) with the component of each row; null where the
+        log since the snapshot meets none of its keys."""
+        numbered = cut(self._row_nodes(tables, scanned).withColumn("_row", F.monotonically_increasing_id()))
+        keys = numbered.select("_row", F.explode("nodes").alias("node")).join(parts, "node").groupBy("_row").agg(F.min("component").alias("component"))
+        return numbered.join(keys, "_row", "left").select("component", "name", "row")
+
+    def what_if(self, log: DataFrame, access: DataFrame, plan: Plan, snapshot: DataFrame | None = None, at: int = -1, final: DataFrame | None = None) -> Outcome:
+        """The tables after the change. ``snapshot`` (name, row): the tables after
+        gid ``at``, before the change; empty ones if it is missing. ``final``: the
+        tables after the whole log; derived by a run of the log since then if it is
+        missing. Only components that the change touches run again."""
+        start = self.spark.createDataFrame([], TABLES) if snapshot is None else snapshot.select("name", "row")
+        log, access = log.where(F.col("gid") > at), access.where(F.col("gid") > at)
+        extra = self._extra(access, plan.added)
         if extra:
-            access = access.unionByName(self.spark.createDataFrame(extra, ACCESS))
-        parts = cut(self.components(access))
-        original = cut(self.state(log, parts))
-        touched = parts.where(F.col("gid").isin([*plan.targets, *plan.added])).select("component").distinct()
-        lone = self.spark.createDataFrame([(f"t:{g}",) for g in [*plan.targets, *plan.added]], "component string")
-        touched = cut(touched.union(lone).distinct())
-        new = self.changed_log(log, plan).join(parts, "gid", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("t:"), F.col("gid").cast("string"))))
-        again = self.state(new.join(touched, "component", "left_semi").drop("component"), parts)
-        derived = original.join(touched, "component", "left_anti").unionByName(again).select("name", "row")
-        return derived, diff.set_diff(original.select("name", "row"), derived, ["name", "row"])
+            access = self._with_whole_tables(access.unionByName(self.spark.createDataFrame(extra, ACCESS)))
+        access = cut(access)
+        scanned = self._scanned(access)
+        parts = cut(self.components(access, None if snapshot is None else start))
+        begun = start.withColumn("component", F.lit(None).cast("string")) if snapshot is None else self.placed(start, parts, scanned)
+        # a row that no key ties to the log stands apart, as in the original
+        if final is None:
+            lone = begun.where("component IS NULL").select("name", "row")
+            final = cut(self.state(log, parts, begun.where("component IS NOT NULL")).select("name", "row").unionByName(lone))
+        changed = self._gids(plan.targets).union(self._gids(list(plan.added)))
+        touched = cut(parts.join(changed.select(F.concat(F.lit("t:"), F.col("gid").cast("string")).alias("node")), "node", "left_semi").select("component").distinct())
+        writes = access.where("rw = 'W'").select("gid").distinct()
+        own = parts.where("node LIKE 't:%'").join(touched, "component", "left_semi").select(F.substring("node", 3, 20).cast("long").alias("gid")).join(writes, "gid", "left_semi")
+        again = cut(self.changed_log(log, plan).join(own, "gid", "left_semi"))
+        new = cut(self.state(again, parts, begun.join(touched, "component", "left_semi")).select("name", "row"))
+        stay = self.placed(final, parts, scanned).join(touched, "component", "left_anti").select("name", "row")
+        derived = stay.unionByName(new)
+        return Outcome(derived, diff.bag_diff(final.select("name", "row"), derived, ["name", "row"]), again.select("gid").distinct())
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """state: (name, row) after the change; changes: rows that only the original
+    (left) or only the changed state (right) holds; ran: gids that were run."""
+
+    state: DataFrame
+    changes: DataFrame
+    ran: DataFrame
+
+
+def _node(column: Any, point: Any, scanned: list[str]) -> Any:
+    name = F.concat(F.lit("k:"), column)
+    return F.when(column.isin(scanned) | point.isNull(), name).otherwise(F.concat(name, F.lit("="), point))
 
 
 def _points(r: Range) -> list[str | None]:

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retrolens.lineage import cut
+from retrolens.lineage import cut, scratch
 
 from .relations import Relations
 
@@ -46,7 +46,7 @@ def by_transaction(columns: DataFrame) -> DataFrame:
     return columns.groupBy("gid").agg(F.collect_set("column").alias("touched"), F.collect_set(F.when(F.col("rw") == "W", F.col("column"))).alias("writes"))
 
 
-def earliest_taint(log: DataFrame, targets: list[int], relations: Relations, row_matched: DataFrame | None = None, extra_writes: dict[str, int] | None = None) -> dict[str, int]:
+def earliest_taint(log: DataFrame, targets: list[int] | DataFrame, relations: Relations, row_matched: DataFrame | None = None, extra_writes: dict[str, int] | None = None) -> dict[str, int]:
     """The first gid at which each column is tainted. ``log``: by_transaction(),
     materialised, since each round reads it;
     ``row_matched``: gids that depend by rows, which taint what they write;
@@ -62,10 +62,11 @@ def earliest_taint(log: DataFrame, targets: list[int], relations: Relations, row
                 taint[r.c], changed = r.g, True
         return changed
 
-    lower(log.where(F.col("gid").isin(targets)))
+    lower(only(log, targets))
     if row_matched is not None:
         lower(log.join(row_matched.select("gid"), "gid", "left_semi"))
-    while lower(log.where(column_dependent(taint, near) & ~F.col("gid").isin(targets))):
+    rest = without(log, targets)
+    while lower(rest.where(column_dependent(taint, near))):
         pass
     return taint
 
@@ -80,14 +81,14 @@ def column_dependent(taint: dict[str, int], near: dict[str, list[str]]) -> Colum
     return F.exists("touched", lambda c: F.coalesce(F.try_element_at(table, c) < F.col("gid"), F.lit(False)))
 
 
-def row_matched(items: DataFrame, targets: list[int], key: list[str]) -> DataFrame:
+def row_matched(items: DataFrame, targets: list[int] | DataFrame, key: list[str]) -> DataFrame:
     """Distinct gids that touch, later, a key that a target wrote. ``items``:
     (gid, rw, *key); key columns are a column name and a value or an island."""
-    hit = items.where(F.col("gid").isin(targets) & (F.col("rw") == "W")).groupBy(*key).agg(F.min("gid").alias("_first"))
+    hit = only(items.where("rw = 'W'"), targets).groupBy(*key).agg(F.min("gid").alias("_first"))
     return items.join(hit, key).where(F.col("gid") > F.col("_first")).select("gid").distinct()
 
 
-def composite_matched(items: DataFrame, targets: list[int], groups: list[tuple[int, list[str], bool]]) -> DataFrame:
+def composite_matched(items: DataFrame, targets: list[int] | DataFrame, groups: list[tuple[int, list[str], bool]]) -> DataFrame:
     """row_matched() by key groups (id, columns, composite): in a composite group
     all columns must match one target, in another any; an access that lacks a
     column of a composite group matches any value of it. items: (gid, rw,
@@ -97,23 +98,23 @@ def composite_matched(items: DataFrame, targets: list[int], groups: list[tuple[i
         own = items.where(F.col("column").isin(columns))
         if composite:
             wide = own.groupBy("gid", "rw").pivot("column", columns).agg(F.first("value"))
-            hit = wide.where(F.col("gid").isin(targets) & (F.col("rw") == "W")).select(F.col("gid").alias("_t"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
+            hit = only(wide.where("rw = 'W'"), targets).select(F.col("gid").alias("_t"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
             on = F.col("gid") > F.col("_t")
             for i, c in enumerate(columns):
                 on = on & (F.col(f"`{c}`").isNull() | F.col(f"_{i}").isNull() | (F.col(f"`{c}`") == F.col(f"_{i}")))
-            found = wide.join(F.broadcast(hit), on).select("gid")  # as many rows as targets
+            found = wide.join(hit, on).select("gid")
         else:
             found = row_matched(own, targets, ["column", "value"])
         out = found if out is None else out.union(found)
     return out.distinct()
 
 
-def decide(log: DataFrame, keyed: DataFrame, matched: DataFrame, taint: dict[str, int], relations: Relations, targets: list[int], strict_row_gate: bool = False) -> DataFrame:
+def decide(log: DataFrame, keyed: DataFrame, matched: DataFrame, taint: dict[str, int], relations: Relations, targets: list[int] | DataFrame, strict_row_gate: bool = False) -> DataFrame:
     """(gid, column_dependent, has_key, row_match, replay, taints): the decision
     on every transaction that is no target."""
     names = {r.c for r in log.select(F.explode("touched").alias("c")).distinct().collect()} | set(taint)
     near = related_to(names, relations)
-    df = log.where(~F.col("gid").isin(targets)).withColumn("column_dependent", column_dependent(taint, near))
+    df = without(log, targets).withColumn("column_dependent", column_dependent(taint, near))
     flag = lambda d, n: d.select("gid").distinct().withColumn(n, F.lit(True))
     df = df.join(flag(keyed, "has_key"), "gid", "left").join(flag(matched, "row_match"), "gid", "left").fillna(False, ["has_key", "row_match"])
     replay = F.when(F.col("has_key"), F.col("row_match")).otherwise(F.col("column_dependent"))
@@ -121,16 +122,29 @@ def decide(log: DataFrame, keyed: DataFrame, matched: DataFrame, taint: dict[str
     return df.select("gid", "column_dependent", "has_key", "row_match", replay.alias("replay"), taints.alias("taints"))
 
 
-def spread_indices(total: int, ratio: float) -> list[int]:
-    """Evenly spaced places of a share of ``total`` ordered items."""
+def spread_places(ranked: DataFrame, total: int, ratio: float, place: str = "place") -> DataFrame:
+    """Rows of ``ranked`` (column ``place``: 0 .. total - 1) at evenly spaced places:
+    m of them, the k-th at floor((k + 0.5) * total / m). Each row tells by itself,
+    in whole numbers, whether some k has its place."""
     ratio = min(1.0, max(0.0, ratio))
-    if not total or not ratio:
-        return []
-    m = min(total, max(1, int(total * ratio + 0.5)))
-    return sorted({min(total - 1, int((k + 0.5) * total / m)) for k in range(m)})
+    m = min(total, max(1, int(total * ratio + 0.5))) if total and ratio else 0
+    if not m:
+        return ranked.where("false")
+    # how many of the places lie before a given one
+    before = lambda at: F.floor((at.cast("decimal(38,0)") * (2 * m) + F.lit(total - 1)).cast("decimal(38,0)") / F.lit(2 * total).cast("decimal(20,0)"))
+    return ranked.where(before(F.col(place) + 1) > before(F.col(place)))
 
 
-def row_closure(items: DataFrame, targets: list[int], key: list[str]) -> DataFrame:
+def only(rows: DataFrame, gids: list[int] | DataFrame) -> DataFrame:
+    """Rows whose gid is one of ``gids``: those that a user named, or a table."""
+    return rows.where(F.col("gid").isin(gids)) if isinstance(gids, list) else rows.join(gids.select("gid"), "gid", "left_semi")
+
+
+def without(rows: DataFrame, gids: list[int] | DataFrame) -> DataFrame:
+    return rows.where(~F.col("gid").isin(gids)) if isinstance(gids, list) else rows.join(gids.select("gid"), "gid", "left_anti")
+
+
+def row_closure(items: DataFrame, targets: list[int] | DataFrame, key: list[str]) -> DataFrame:
     """Distinct gids that depend on the targets by rows, however many steps away:
     a transaction that touches a key after a target, or after a dependent one,
     wrote it is dependent. ``items``: (gid, rw, *key), equality of keys; rw is R,
@@ -141,12 +155,14 @@ def row_closure(items: DataFrame, targets: list[int], key: list[str]) -> DataFra
     transactions that are new; as many rounds as the longest chain of keys."""
     items = cut(items.select("gid", "rw", *key).distinct())
     writes, items = items.where("rw IN ('W', 'T')").select("gid", *key), items.where("rw <> 'T'")
-    tainted = writes.where(F.col("gid").isin(targets)).groupBy(*key).agg(F.min("gid").alias("since"))
-    found = None
+    tainted = only(writes, targets).groupBy(*key).agg(F.min("gid").alias("since"))
+    spark, place, turn = items.sparkSession, scratch(items.sparkSession), 0
     while True:
-        fresh = items.join(tainted, key).where(F.col("gid") > F.col("since")).select("gid").distinct().where(~F.col("gid").isin(targets))
-        fresh = cut(fresh if found is None else fresh.join(found, "gid", "left_anti"))
+        fresh = without(items.join(tainted, key).where(F.col("gid") > F.col("since")).select("gid").distinct(), targets)
+        found = spark.read.schema("gid long").parquet(f"{place}/*") if turn else None
+        (fresh if found is None else fresh.join(found, "gid", "left_anti")).write.parquet(f"{place}/{turn}")
+        fresh = spark.read.schema("gid long").parquet(f"{place}/{turn}")
         if fresh.isEmpty():
-            return fresh if found is None else found
-        found = fresh if found is None else cut(found.union(fresh))
+            return spark.read.schema("gid long").parquet(f"{place}/*")
         tainted = writes.join(fresh, "gid", "left_semi").groupBy(*key).agg(F.min("gid").alias("since"))
+        turn += 1

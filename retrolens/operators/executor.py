@@ -20,6 +20,12 @@ class Tables:
         self.next_id: dict[str, int] = {}
         self.last_insert_id: int | None = None
 
+    def load(self, table: str, row: dict[str, Any]) -> None:
+        """A row that the table holds already."""
+        self.rows.setdefault(table.lower(), []).append(row)
+        if (key := self.auto.get(table.lower())) and row.get(key) is not None:
+            self.next_id[table] = max(self.next_id.get(table, 0), int(row[key]))
+
     def _test(self, node: tuple | None, row: dict[str, Any], scope: dict[str, Any]) -> bool | None:
         """Three-valued: None if a null decides."""
         if node is None:

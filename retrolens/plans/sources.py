@@ -7,98 +7,153 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retrolens import engine
 from retrolens.functions import intervals as iv
-from retrolens.lineage import scratch
-from retrolens.operators import access, cluster, depend, executor, replay
+from retrolens.lineage import cut, scratch
+from retrolens.operators import access, cluster, depend, replay
 from retrolens.operators import relations as rel
-from retrolens.sources import sql, statelog
+from retrolens.sources import config, sql, statelog
 
-from .logs import ACCESS_SQL, DECIDE_SQL, RELATIONS, TARGETS, TAINT_SQL, accesses, by_gid, decision, log, query, rows, table, user_state, values_sql
+from .logs import ACCESS_SQL, CENTS, DECIDE_SQL, RELATIONS, TARGETS, TAINT_SQL, accesses, by_gid, decision, log, query, rows, table, user_state, values_sql
 
-#: A small shop: its procedures, and the calls of its log.
-SHOP_SCRIPT = """
+#: Tanks whose level is set, raised and looked at; each event of the log is one call.
+TANKS_SCRIPT = """
 DELIMITER $$
-CREATE PROCEDURE add_item(IN p_id INT, IN p_price INT, IN p_stock INT)
-BEGIN INSERT INTO items (id, price, stock) VALUES (p_id, p_price, p_stock); END$$
-CREATE PROCEDURE restock(IN p_id INT, IN p_more INT)
-BEGIN UPDATE items SET stock = stock + p_more WHERE id = p_id; END$$
-CREATE PROCEDURE buy(IN p_id INT, IN p_qty INT)
+CREATE PROCEDURE calibrate(IN p_tank BIGINT, IN p_level BIGINT)
 BEGIN
-  DECLARE v_price INT;
-  SELECT price INTO v_price FROM items WHERE id = p_id;
-  INSERT INTO orders (item_id, quantity, total, status) VALUES (p_id, p_qty, v_price * p_qty, 'PAID');
-  UPDATE items SET stock = stock - p_qty WHERE id = p_id;
+  DELETE FROM tanks WHERE tank_id = p_tank;
+  INSERT INTO tanks (tank_id, level) VALUES (p_tank, p_level);
 END$$
-CREATE PROCEDURE refund(IN p_order BIGINT, IN p_amount INT)
+CREATE PROCEDURE pump(IN p_tank BIGINT, IN p_flow BIGINT)
 BEGIN
-  DECLARE v_item INT; DECLARE v_qty INT; DECLARE v_total INT; DECLARE v_back INT DEFAULT 1;
-  SELECT item_id, quantity, total INTO v_item, v_qty, v_total FROM orders WHERE order_id = p_order;
-  IF p_amount = 0 THEN SET p_amount = v_total; SET v_back = v_qty; END IF;
-  UPDATE orders SET status = 'REFUNDED' WHERE order_id = p_order;
-  UPDATE items SET stock = stock + v_back WHERE id = v_item;
-  INSERT INTO refunds (order_id, amount) VALUES (p_order, p_amount);
+  DECLARE v_seen BIGINT; DECLARE v_flow BIGINT DEFAULT 0;
+  IF p_flow > 0 THEN SET v_flow = p_flow; END IF;
+  SELECT level INTO v_seen FROM tanks WHERE tank_id = p_tank;
+  INSERT INTO flows (tank_id, level_before, flow) VALUES (p_tank, v_seen, v_flow);
+  UPDATE tanks SET level = level + v_flow WHERE tank_id = p_tank;
+END$$
+CREATE PROCEDURE inspect(IN p_tank BIGINT)
+BEGIN
+  DECLARE v_seen BIGINT;
+  SELECT level INTO v_seen FROM tanks WHERE tank_id = p_tank;
+  INSERT INTO inspections (tank_id, level_before) VALUES (p_tank, v_seen);
 END$$
 DELIMITER ;
 """
-CALLS: list[tuple[str, list[Any]]] = [("add_item", [1, 100, 10]), ("add_item", [2, 200, 5]), ("restock", [1, 5]), ("buy", [1, 3]), ("buy", [2, 1]), ("refund", [1, 0]), ("restock", [2, 2]), ("buy", [1, 2])]
+TANKS = '{"stateLog": {"name": "l"}, "keyColumns": ["tanks.tank_id"], "database": {"name": "works"}}'
+TANK_KEYS = [("flows.tank_id", "tanks.tank_id"), ("inspections.tank_id", "tanks.tank_id")]
+ADDED = "CALL pump(7, 1234)"
+SNAPSHOT_AT = 10
+CALL_SQL = f"""calls AS (SELECT event_id AS gid, 1 AS sub, user_id AS key, CASE event_type WHEN 'signup' THEN 'calibrate' WHEN 'purchase' THEN 'pump' WHEN 'click' THEN 'pump' ELSE 'inspect' END AS name,
+  CASE event_type WHEN 'click' THEN -1 ELSE {CENTS} END AS amount FROM events)"""
+TANK_SQL = """eras AS (SELECT *, CASE WHEN name = 'inspect' OR amount < 0 THEN 0 ELSE amount END AS flow,
+  count(CASE WHEN name = 'calibrate' THEN 1 END) OVER (PARTITION BY key ORDER BY gid, sub ROWS UNBOUNDED PRECEDING) AS era FROM history),
+seen AS (SELECT *, CASE WHEN era > 0 THEN sum(flow) OVER (PARTITION BY key, era ORDER BY gid, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS level FROM eras),
+ends AS (SELECT key, sum(flow) AS level FROM eras e WHERE era > 0 AND era = (SELECT max(era) FROM eras m WHERE m.key = e.key) GROUP BY key)
+SELECT 'tanks' AS name, key, CAST(1 AS BIGINT) AS n, CAST(level AS BIGINT) AS total FROM ends
+UNION ALL SELECT CASE name WHEN 'pump' THEN 'flows' ELSE 'inspections' END, key, count(*), CAST(coalesce(sum(level), 0) AS BIGINT) FROM seen WHERE name <> 'calibrate' GROUP BY 1, 2"""
+AFTER_SQL = f"hit AS (SELECT key, min(gid) AS since FROM calls WHERE gid IN ({', '.join(map(str, TARGETS))}) GROUP BY key), kept AS (SELECT * FROM calls WHERE gid NOT IN ({', '.join(map(str, TARGETS))}))"
+
+
+def tank_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid, q, statement): the events as calls."""
+    key, cents = F.col("key").cast("string"), F.col("cents").cast("string")
+    call = lambda name, *args: F.concat(F.lit(f"CALL {name}("), *[x for i, a in enumerate(args) for x in ((F.lit(", "), a) if i else (a,))], F.lit(")"))
+    text = F.when(F.col("op") == "signup", call("calibrate", key, cents)).when(F.col("op") == "purchase", call("pump", key, cents)).when(F.col("op") == "click", call("pump", key, F.lit("-1")))
+    return log(spark, sf_dir).select("gid", F.lit(0).alias("q"), text.otherwise(call("inspect", key)).alias("statement"))
+
+
+def tank_engine(spark: SparkSession) -> engine.WhatIf:
+    return engine.WhatIf(spark, config.loads(TANKS, {}), TANK_KEYS, sql.procedures(TANKS_SCRIPT))
+
 
+def tank_totals(state: DataFrame) -> DataFrame:
+    """(name, key, n, total) of the tables' rows."""
+    field = lambda name: F.get_json_object("row", f"$.{name}").cast("long")
+    seen = F.coalesce(F.sum(F.coalesce(field("level"), field("level_before"))), F.lit(0)).alias("total")
+    return state.groupBy("name", field("tank_id").alias("key")).agg(F.count(F.lit(1)).alias("n"), seen)
 
-def _shop(spark: SparkSession, calls: list[tuple[str, list[Any]]]) -> DataFrame:
-    t = executor.replay_calls([(n, a, None) for n, a in calls], sql.procedures(SHOP_SCRIPT), executor.Tables({"orders": "order_id"}))
-    out = [("items", r["id"], str(r["stock"])) for r in t.rows["items"]] + [("orders", r["order_id"], r["status"]) for r in t.rows["orders"]] + [("refunds", r["order_id"], str(r["amount"])) for r in t.rows.get("refunds", [])]
-    return rows(spark, out, "name string, key long, state string")
 
+def full_state(w: engine.WhatIf, calls: DataFrame, access: DataFrame) -> DataFrame:
+    return w.state(calls, cut(w.components(access))).select("name", "row")
 
-_PAID = [("orders", 2, "PAID"), ("orders", 3, "PAID")]
 
+def without_targets(spark: SparkSession, sf_dir: str) -> tuple[engine.Plan, engine.Outcome]:
+    """Calls taken out of a log whose final tables are there, with a snapshot from before."""
+    w, calls = tank_engine(spark), tank_calls(spark, sf_dir)
+    access = cut(w.analyse(calls))
+    plan = w.plan(access, TARGETS)
+    final = cut(full_state(w, calls, access))
+    early = F.col("gid") <= SNAPSHOT_AT
+    snapshot = cut(full_state(w, calls.where(early), access.where(early)))
+    return plan, w.what_if(calls, access, plan, snapshot, SNAPSHOT_AT, final)
 
-@query("j16_procedure_replay", values_sql([("items", 1, "13"), ("items", 2, "6"), ("orders", 1, "REFUNDED"), *_PAID, ("refunds", 1, "300")], "name, key, state"))
+
+@query("j16_procedure_replay", f"WITH {CALL_SQL}, history AS (SELECT * FROM calls), {TANK_SQL}")
 def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log's calls run again, each as a call."""
-    return _shop(spark, CALLS)
+    """The log's calls run again, each as a call, components in parallel."""
+    w, calls = tank_engine(spark), tank_calls(spark, sf_dir)
+    return tank_totals(full_state(w, calls, cut(w.analyse(calls))))
 
 
-@query("j16_without_the_refund", values_sql([("items", 1, "10"), ("items", 2, "6"), ("orders", 1, "PAID"), *_PAID], "name, key, state"))
+@query("j16_removed_calls", f"WITH {CALL_SQL}, {AFTER_SQL}, history AS (SELECT * FROM kept), {TANK_SQL}")
 def j16r(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop(spark, CALLS[:5] + CALLS[6:])
+    """Selective replay from a snapshot: equal to a full replay without the targets."""
+    return tank_totals(without_targets(spark, sf_dir)[1].state)
 
 
-@query("j16_changed_refund", values_sql([("items", 1, "11"), ("items", 2, "6"), ("orders", 1, "REFUNDED"), *_PAID, ("refunds", 1, "100")], "name, key, state"))
-def j16c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop(spark, [*CALLS[:5], ("refund", [1, 100]), *CALLS[6:]])
+@query(
+    "j16_replayed_calls",
+    f"WITH {CALL_SQL}, {AFTER_SQL} SELECT count(CASE WHEN gid > since THEN 1 END) AS planned, count(CASE WHEN gid < since THEN 1 END) AS support, count(*) AS ran FROM kept JOIN hit USING (key) WHERE gid > {SNAPSHOT_AT}",
+)
+def j16n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a selective replay ran: the planned calls, and those since the
+    snapshot that the first planned ones build on."""
+    plan, out = without_targets(spark, sf_dir)
+    planned = out.ran.join(plan.gids().withColumn("planned", F.lit(1)), "gid", "left")
+    return planned.agg(F.count("planned").alias("planned"), F.count(F.when(F.col("planned").isNull(), 1)).alias("support"), F.count(F.lit(1)).alias("ran"))
 
 
-def _call_items(spark: SparkSession) -> DataFrame:
-    """Key items of the calls, from traces; a call's hints are recorded values."""
-    procs, out = sql.procedures(SHOP_SCRIPT), []
-    for gid, (name, args) in enumerate(CALLS):
-        a = procs[name].trace(args, ("items.id",), {"v_item": 1})
-        for rw, items in (("R", a.read_items), ("W", a.write_items)):
-            out += [(gid, rw, c, p.lo) for c, r in items.items() for p in r.parts]
-    return rows(spark, out, "gid long, rw string, column string, value long")
+@query("j16_added_call", f"WITH {CALL_SQL}, {AFTER_SQL}, history AS (SELECT * FROM kept UNION ALL SELECT 500, 0, 7, 'pump', 1234), {TANK_SQL}")
+def j16c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls taken out and one added before gid 500; no snapshot."""
+    w, calls = tank_engine(spark), tank_calls(spark, sf_dir)
+    access = cut(w.analyse(calls))
+    return tank_totals(w.what_if(calls, access, w.plan(access, TARGETS, {500: [ADDED]})).state)
 
 
-@query("j3_procedure_dependency", values_sql([(7,)], "gid"))
+@query("j3_procedure_dependency", f"WITH {CALL_SQL}, {AFTER_SQL} SELECT gid FROM kept JOIN hit USING (key) WHERE gid > since")
 def j3p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the refund only the later purchase of its item is replayed."""
-    return depend.row_matched(_call_items(spark), [5], ["column", "value"])
+    """Without the targets, later calls for their tanks run again."""
+    w = tank_engine(spark)
+    return w.plan(w.analyse(tank_calls(spark, sf_dir)), TARGETS).gids()
+
+
+_CALL_COLUMNS = [
+    ("calibrate", "R", "tanks.tank_id"), ("calibrate", "W", "tanks.*"), ("calibrate", "W", "tanks.level"), ("calibrate", "W", "tanks.tank_id"),
+    ("pump", "R", "tanks.tank_id"), ("pump", "R", "tanks.level"), ("pump", "W", "tanks.level"), ("pump", "W", "flows.*"), ("pump", "W", "flows.tank_id"), ("pump", "W", "flows.level_before"), ("pump", "W", "flows.flow"),
+    ("inspect", "R", "tanks.tank_id"), ("inspect", "R", "tanks.level"), ("inspect", "W", "inspections.*"), ("inspect", "W", "inspections.tank_id"), ("inspect", "W", "inspections.level_before"),
+]
 
 
-@query("d11_call_accesses", values_sql([("R", "items.id"), ("R", "items.price"), ("R", "items.stock"), ("W", "items.stock"), ("W", "orders.*"), ("W", "orders.item_id"), ("W", "orders.quantity"), ("W", "orders.status"), ("W", "orders.total")], 'rw, "column"'))
+@query("d11_call_accesses", f"WITH {CALL_SQL}, c(name, rw, col) AS (VALUES {', '.join(map(str, _CALL_COLUMNS))}) SELECT rw, col AS \"column\", count(*) AS n FROM calls JOIN c USING (name) GROUP BY 1, 2")
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = sql.procedures(SHOP_SCRIPT)["buy"].trace([1, 3])
-    return rows(spark, sorted([("R", c) for c in a.reads] + [("W", c) for c in a.writes]), "rw string, column string")
+    """Columns that the log's calls read and write, by tracing each call."""
+    found = tank_engine(spark).analyse(tank_calls(spark, sf_dir)).where("what = 'column'")
+    return found.groupBy("rw", "column").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a10_procedure_definitions", values_sql([("add_item", 3), ("buy", 2), ("refund", 2), ("restock", 2)], "name, params"))
+@query("a10_procedure_definitions", f"WITH {CALL_SQL} SELECT name, CAST(CASE name WHEN 'inspect' THEN 1 ELSE 2 END AS BIGINT) AS params, count(*) AS calls FROM calls GROUP BY name")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions written to the shared folder and loaded from there."""
+    """Definitions written to the shared folder, loaded from there, and the log's calls of each."""
     place = scratch(spark)
-    rows(spark, [(SHOP_SCRIPT,)], "value string").coalesce(1).write.text(place)
+    rows(spark, [(TANKS_SCRIPT,)], "value string").coalesce(1).write.text(place)
     found: dict[str, Any] = {}
     for r in spark.read.text(place, wholetext=True).collect():
         found |= sql.procedures(r.value)
-    return rows(spark, sorted((p.name, len(p.params)) for p in found.values()), "name string, params long")
+    known = rows(spark, sorted((p.name, len(p.params)) for p in found.values()), "name string, params long")
+    called = tank_calls(spark, sf_dir).groupBy(F.regexp_extract("statement", r"^CALL (\w+)", 1).alias("name")).agg(F.count(F.lit(1)).alias("calls"))
+    return known.join(called, "name")
 
 
 @query("a13_plan_load", f"{DECIDE_SQL} SELECT gid, 'replay' AS what FROM plan WHERE replay UNION ALL SELECT unnest([11, 500])::BIGINT, 'rollback'")
@@ -109,9 +164,9 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(place).select("gid", "what")
 
 
-@query("a14_user_transaction", values_sql([("INSERT", "W", "refunds.*"), ("INSERT", "W", "refunds.amount"), ("INSERT", "W", "refunds.order_id"), ("UPDATE", "R", "items.id"), ("UPDATE", "R", "items.stock"), ("UPDATE", "W", "items.stock")], 'kind, rw, "column"'))
+@query("a14_user_transaction", values_sql([("INSERT", "W", "flows.*"), ("INSERT", "W", "flows.flow"), ("INSERT", "W", "flows.tank_id"), ("UPDATE", "R", "tanks.level"), ("UPDATE", "R", "tanks.tank_id"), ("UPDATE", "W", "tanks.level")], 'kind, rw, "column"'))
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = "START TRANSACTION; UPDATE items SET stock = stock + 1 WHERE id = 1; INSERT INTO refunds (order_id, amount) VALUES (1, 100); COMMIT;"
+    script = "START TRANSACTION; UPDATE tanks SET level = level - 40 WHERE tank_id = 9; INSERT INTO flows (tank_id, flow) VALUES (9, -40); COMMIT;"
     out = [(d.kind, rw, c) for d in sql.parse_script(script) for rw, cs in (("R", access.accesses(d).reads), ("W", access.accesses(d).writes)) for c in cs]
     return rows(spark, sorted(out), "kind string, rw string, column string")
 

@@ -3,6 +3,9 @@ and the star-schema queries, written with the DataFrame API, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,44 +111,48 @@ def k21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIT, _VAR = (lambda v: ("lit", v)), (lambda n: ("var", n))
-REFUND = procedures.Procedure(
-    "refund",
-    [("IN", "order_id"), ("IN", "amount"), ("OUT", "done")],
+#: A parcel goes to a lane by its weight; what is too heavy waits.
+DISPATCH = procedures.Procedure(
+    "dispatch",
+    [("IN", "parcel"), ("IN", "weight"), ("OUT", "lane")],
     [
-        ("into", access.Dml("SELECT", "orders", select=("item_id", "quantity"), where=("=", "order_id", [_VAR("order_id")])), ["item", "qty"]),
-        ("if", [(("<=", _VAR("amount"), _LIT(0)), [("set", "done", _LIT(0))])], [
-            ("sql", access.Dml("INSERT", "refunds", rows=({"order_id": _VAR("order_id"), "amount": _VAR("amount")},))),
-            ("sql", access.Dml("UPDATE", "items", sets={"stock": ("stock",)}, where=("=", "id", [_VAR("item")]))),
-            ("set", "done", _LIT(1)),
+        ("set", "lane", ("+", ("div", _VAR("weight"), _LIT(10)), _LIT(1))),
+        ("if", [((">", _VAR("weight"), _LIT(50)), [("set", "lane", _LIT(0)), ("sql", access.Dml("INSERT", "waiting", rows=({"parcel": _VAR("parcel")},)))])], [
+            ("into", access.Dml("SELECT", "lanes", select=("gate",), where=("=", "lane", [_VAR("lane")])), ["gate"]),
+            ("sql", access.Dml("UPDATE", "parcels", sets={"gate": ()}, values={"gate": _VAR("gate")}, where=("=", "parcel", [_VAR("parcel")]))),
+            ("sql", access.Dml("UPDATE", "lanes", sets={"held": ("held",)}, where=("=", "lane", [_VAR("lane")]))),
         ]),
     ],
 )
 
 
-@query("k22_procedure_run", values_sql([(5, 1, 2), (0, 0, 0), (9, 1, 2)], "amount, done, statements"))
+@query("k22_procedure_run", "SELECT p_size AS weight, CAST(CASE WHEN p_size > 50 THEN 0 ELSE p_size // 10 + 1 END AS BIGINT) AS lane, CAST(CASE WHEN p_size > 50 THEN 1 ELSE 2 END AS BIGINT) AS writes, count(*) AS parcels FROM part GROUP BY ALL")
 def k22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = []
-    for amount in (5, 0, 9):
-        ran: list[str] = []
+    """The procedure run for every part, with its size for a weight."""
 
-        def execute(dml: access.Dml, scope: dict, ran: list[str] = ran) -> list[object]:
-            ran.append(dml.kind)
-            return [3, 1]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for parcel, weight in zip(f["p_partkey"], f["p_size"], strict=True):
+                ran: list[str] = []
+                lane = DISPATCH.run([int(parcel), int(weight), None], lambda dml, scope, ran=ran: ran.append(dml.kind) or [4])["lane"]
+                out.append((weight, lane, sum(k != "SELECT" for k in ran)))
+            yield pd.DataFrame(out, columns=["weight", "lane", "writes"])
 
-        done = REFUND.run([1, amount, None], execute)["done"]
-        out.append((amount, done, sum(k != "SELECT" for k in ran)))
-    return rows(spark, out, "amount long, done long, statements long")
+    ran = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "weight int, lane long, writes long")
+    return ran.groupBy("weight", "lane", "writes").agg(F.count(F.lit(1)).alias("parcels"))
 
 
-@query("k23_procedure_trace", values_sql([("R", "items.id"), ("R", "items.stock"), ("R", "orders.item_id"), ("R", "orders.order_id"), ("R", "orders.quantity"), ("W", "items.stock"), ("W", "refunds.*"), ("W", "refunds.amount"), ("W", "refunds.order_id")], 'rw, "column"'))
+@query("k23_procedure_trace", values_sql([("R", "lanes.gate"), ("R", "lanes.held"), ("R", "lanes.lane"), ("R", "parcels.parcel"), ("W", "lanes.held"), ("W", "parcels.gate"), ("W", "waiting.*"), ("W", "waiting.parcel")], 'rw, "column"'))
 def k23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = REFUND.trace([1, 5, None])
+    """Both branches, without running either."""
+    a = DISPATCH.trace([1, 5, None])
     return rows(spark, sorted([("R", c) for c in a.reads] + [("W", c) for c in a.writes]), "rw string, column string")
 
 
-@query("k24_call_text", values_sql([(0, "SET @out_2 = NULL"), (1, "CALL refund(1, 'a''b', @out_2)")], "place, statement"))
+@query("k24_call_text", values_sql([(0, "SET @out_2 = NULL"), (1, "CALL dispatch(1, 'a''b', @out_2)")], "place, statement"))
 def k24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, list(enumerate(procedures.call_text(REFUND, [1, "a'b", None]))), "place long, statement string")
+    return rows(spark, list(enumerate(procedures.call_text(DISPATCH, [1, "a'b", None]))), "place long, statement string")
 
 
 @query("k26_statement_splitter", values_sql([(0, "SELECT ';' AS a"), (1, "CREATE PROCEDURE p() BEGIN SELECT 1; SELECT 2; END"), (2, "SELECT 3")], "place, statement"))

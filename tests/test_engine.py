@@ -133,10 +133,11 @@ def test_plan_of_three_transactions(spark):
     assert [r.gid for r in depend.composite_matched(items, [1], groups).collect()] == [2]
 
 
-def test_spread_indices():
-    assert depend.spread_indices(5, 0.5) == [0, 2, 4]
-    assert depend.spread_indices(0, 0.5) == [] and depend.spread_indices(3, 0) == [] and depend.spread_indices(3, 7) == [0, 1, 2]
-    assert depend.spread_indices(100, 0.001) == [50]
+def test_spread_places(spark):
+    for total, ratio in [(5, 0.5), (0, 0.5), (3, 0.0), (3, 7.0), (100, 0.001), (97, 0.13), (1000, 0.333), (11, 0.99)]:
+        got = sorted(r.place for r in depend.spread_places(spark.range(total).withColumnRenamed("id", "place"), total, ratio).collect())
+        m = min(total, max(1, int(total * min(1.0, ratio) + 0.5))) if total and ratio else 0
+        assert got == sorted({(2 * k + 1) * total // (2 * m) for k in range(m)})
 
 
 # ---- conflicts ----
@@ -225,58 +226,44 @@ def test_selective_replay_equals_full_replay(spark, seed):
 
 LIT, VAR, COL = (lambda v: ("lit", v)), (lambda n: ("var", n)), (lambda n: ("col", n))
 P = procedures.Procedure
-SHOP = {
-    "add_item": P("add_item", [("IN", "id"), ("IN", "price"), ("IN", "stock")], [("sql", Dml("INSERT", "items", rows=({"id": VAR("id"), "price": VAR("price"), "stock": VAR("stock")},)))]),
-    "restock": P("restock", [("IN", "id"), ("IN", "more")], [("sql", Dml("UPDATE", "items", sets={"stock": ("stock",)}, values={"stock": ("+", COL("stock"), VAR("more"))}, where=("=", "id", [VAR("id")])))]),
-    "buy": P(
-        "buy",
-        [("IN", "id"), ("IN", "qty"), ("OUT", "order")],
-        [
-            ("into", Dml("SELECT", "items", select=("price",), where=("=", "id", [VAR("id")])), ["price"]),
-            ("sql", Dml("INSERT", "orders", rows=({"item_id": VAR("id"), "quantity": VAR("qty"), "total": ("*", VAR("price"), VAR("qty")), "status": "PAID"},))),
-            ("set", "order", VAR("last_insert_id")),
-            ("sql", Dml("UPDATE", "items", sets={"stock": ("stock",)}, values={"stock": ("-", COL("stock"), VAR("qty"))}, where=("=", "id", [VAR("id")]))),
-        ],
-    ),
-    "refund": P(
-        "refund",
-        [("IN", "order"), ("IN", "amount")],
-        [
-            ("into", Dml("SELECT", "orders", select=("item_id", "quantity", "total"), where=("=", "order_id", [VAR("order")])), ["item", "qty", "total"]),
-            ("sql", Dml("UPDATE", "orders", sets={"status": ()}, values={"status": "REFUNDED"}, where=("=", "order_id", [VAR("order")]))),
-            ("if", [(("=", VAR("amount"), LIT(0)), [("set", "amount", VAR("total")), ("set", "back", VAR("qty"))])], [("set", "back", LIT(1))]),
-            ("sql", Dml("UPDATE", "items", sets={"stock": ("stock",)}, values={"stock": ("+", COL("stock"), VAR("back"))}, where=("=", "id", [VAR("item")]))),
-            ("sql", Dml("INSERT", "refunds", rows=({"order_id": VAR("order"), "amount": VAR("amount")},))),
-        ],
-    ),
-}
-CALLS = [("add_item", [1, 100, 10]), ("add_item", [2, 200, 5]), ("restock", [1, 5]), ("buy", [1, 3, None]), ("buy", [2, 1, None]), ("refund", [1, 0]), ("restock", [2, 2]), ("buy", [1, 2, None])]
-
-
-def shop(calls):
-    t = executor.replay_calls([(n, a, None) for n, a in calls], SHOP, executor.Tables({"orders": "order_id"}))
-    stock = {r["id"]: r["stock"] for r in t.rows["items"]}
-    return stock[1], stock[2], t.rows["orders"][0]["status"], [r["amount"] for r in t.rows.get("refunds", [])]
-
-
-def test_shop_goldens():
-    assert shop(CALLS) == (13, 6, "REFUNDED", [300])
-    assert shop(CALLS[:5] + CALLS[6:]) == (10, 6, "PAID", [])
-    assert shop([*CALLS[:5], ("refund", [1, 100]), *CALLS[6:]]) == (11, 6, "REFUNDED", [100])
-
-
-def test_shop_plan_replays_one_call(spark):
-    """Only the later purchase of the same item depends on the refund."""
-    keys = ("items.id",)
+TALLY = P(
+    "tally",
+    [("IN", "board"), ("IN", "points"), ("OUT", "entry")],
+    [
+        ("into", Dml("SELECT", "boards", select=("best", "rounds"), where=("=", "board", [VAR("board")])), ["best", "rounds"]),
+        ("if", [((">", VAR("points"), VAR("best")), [("sql", Dml("UPDATE", "boards", sets={"best": ()}, values={"best": VAR("points")}, where=("=", "board", [VAR("board")])))])], []),
+        ("sql", Dml("INSERT", "entries", rows=({"board": VAR("board"), "round": ("+", VAR("rounds"), LIT(1)), "points": VAR("points")},))),
+        ("set", "entry", VAR("last_insert_id")),
+        ("sql", Dml("UPDATE", "boards", sets={"rounds": ("rounds",)}, values={"rounds": ("+", COL("rounds"), LIT(1))}, where=("=", "board", [VAR("board")]))),
+    ],
+)
+OPEN = P("open_board", [("IN", "board")], [("sql", Dml("INSERT", "boards", rows=({"board": VAR("board"), "best": LIT(0), "rounds": LIT(0)},)))])
+
+
+def boards(calls):
+    t = executor.replay_calls([(n, a, None) for n, a in calls], {"tally": TALLY, "open_board": OPEN}, executor.Tables({"entries": "id"}))
+    return {r["board"]: (r["best"], r["rounds"]) for r in t.rows["boards"]}, [(r["id"], r["board"], r["round"]) for r in t.rows.get("entries", [])]
+
+
+def test_calls_against_a_plain_run():
+    rng = random.Random(21)
+    calls, best, rounds, entries = [("open_board", [b]) for b in range(4)], Counter(), Counter(), []
+    for _ in range(60):
+        b, points = rng.randrange(4), rng.randrange(100)
+        calls.append(("tally", [b, points, None]))
+        best[b], rounds[b] = max(best[b], points), rounds[b] + 1
+        entries.append((len(entries) + 1, b, rounds[b]))
+    assert boards(calls) == ({b: (best[b], rounds[b]) for b in range(4)}, entries)
+
+
+def test_calls_of_a_board_depend_on_each_other(spark):
+    calls = [("open_board", [1]), ("open_board", [2]), ("tally", [1, 5, None]), ("tally", [2, 6, None]), ("tally", [1, 7, None])]
     rows = []
-    for gid, (name, args) in enumerate(CALLS):
-        a = SHOP[name].trace(args, keys, {"item": 1} if name == "refund" else None)
-        for rw, items in (("R", a.read_items), ("W", a.write_items)):
-            for c, r in items.items():
-                assert not r.wildcard
-                rows += [(gid, rw, c, p.lo) for p in r.parts]
+    for gid, (name, args) in enumerate(calls):
+        a = {"tally": TALLY, "open_board": OPEN}[name].trace(args, ("boards.board",))
+        rows += [(gid, rw, c, p.lo) for rw, items in (("R", a.read_items), ("W", a.write_items)) for c, r in items.items() for p in r.parts]
     items = spark.createDataFrame(rows, "gid long, rw string, column string, value long")
-    assert [r.gid for r in depend.row_matched(items, [5], ["column", "value"]).collect()] == [7]
+    assert [r.gid for r in depend.row_matched(items, [2], ["column", "value"]).collect()] == [4]
 
 
 def test_replace_statements():
