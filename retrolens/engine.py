@@ -95,6 +95,11 @@ class WhatIf:
         self.spark, self.config = spark, config
         self.relations = config.relations(list(foreign_keys))
         self.keys = tuple(dict.fromkeys(c for g in config.groups() for c in g))
+        self.wanted = {self.relations.chain(k) for k in self.keys}
+        # a table without a key of its own goes by columns that refer to one
+        own = {k.split(".")[0].lower() for k in self.keys}
+        refer = sorted({*self.relations.aliases, *self.relations.foreign_keys})
+        self.traced = (*self.keys, *(c for c in refer if self.relations.chain(c) in self.wanted and c.split(".")[0] not in own))
         self.procedures, self.auto = procedures or {}, auto or {}
 
     # ---- analysis ----
@@ -102,14 +107,14 @@ class WhatIf:
     def access_of(self, statement: str) -> Access:
         """What one statement, or a call, reads and writes."""
         if (call := _call(statement)) is not None:
-            return self.procedures[call[0]].trace(call[1], self.keys)
-        return union([accesses(sql.parse(statement)), accesses(sql.parse(statement), self.keys)])
+            return self.procedures[call[0]].trace(call[1], self.traced)
+        return union([accesses(sql.parse(statement)), accesses(sql.parse(statement), self.traced)])
 
     def _rows(self, gid: int, a: Access) -> Iterator[tuple]:
         for rw, columns in (("R", a.reads), ("W", a.writes)):
             for c in columns:
                 yield gid, rw, "column", c, None
-        wanted = {self.relations.chain(k) for k in self.keys}
+        wanted = self.wanted
         by_key = {c.split(".")[0] for items in (a.read_items, a.write_items) for c in items if self.relations.chain(c) in wanted}
         for rw, columns in (("R", a.reads), ("W", a.writes)):
             for t in {c.split(".")[0] for c in columns} - by_key:
@@ -203,9 +208,7 @@ class WhatIf:
     def _row_nodes(self, rows: DataFrame, scanned: list[str]) -> DataFrame:
         """``rows`` (name, row, ...) with the keys that each stands on."""
         fields = rows.select("name", F.explode(F.map_keys(F.from_json("row", "map<string,string>"))).alias("c")).distinct().collect()  # the schema
-        wanted = {self.relations.chain(k) for k in self.keys}
-        names = {f"{r.name}.{r.c}": self.relations.chain(f"{r.name}.{r.c}") for r in fields}
-        names = {c: n for c, n in names.items() if n in wanted}
+        names = {c: self.relations.chain(c) for r in fields if (c := f"{r.name}.{r.c}") in {k.lower() for k in self.traced}}
         known = F.create_map(*[F.lit(x) for c, n in sorted(names.items()) for x in (c, n)]) if names else F.create_map().cast("map<string,string>")
         entry = F.transform(F.map_entries(F.from_json("row", "map<string,string>")), lambda e: F.struct(F.try_element_at(known, F.concat("name", F.lit("."), e["key"])).alias("key"), e["value"].alias("value")))
         nodes = F.transform(F.filter(entry, lambda e: e["key"].isNotNull() & e["value"].isNotNull()), lambda e: _node(e["key"], e["value"], scanned))
