@@ -38,7 +38,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ WORDS, LEAST_PERCENT = 5, 80
 SEGMENTS, PLACES = 12, 6
 #: An entry with more distinct sets than this isn't expanded into pairs.
 HOT_ENTRY = 64
+#: Buckets by which shingles' occurrences are counted, to put them in order.
+OFTEN = 1 << 16
 #: Members of an entry that all others are verified against at first.
 LEADERS = 4
 
@@ -175,14 +177,35 @@ def _pairs(shared: DataFrame) -> DataFrame:
     return shared.select("entry", F.col("node").alias("a"), "size", "c").join(other, "entry").where("c < c_b").select("a", "size", "b", "size_b")
 
 
+def _prefixes(often: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each set (node, c, shingles), the shingles of which similar sets share
+    one: its first, in an order by how often a shingle's bucket occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(often.value, np.int64)
+        for batch in batches:
+            sets = [x.values.to_numpy() for x in batch.column(2)]
+            size = np.array([len(x) for x in sets], np.int64)
+            take = size + size * -LEAST_PERCENT // 100 + 1
+            first = [x[np.lexsort((x, counts[x & (OFTEN - 1)]))[:k]] for x, k in zip(sets, take)]
+            of = np.repeat(np.arange(len(sets)), take)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
+            cols = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(size[of]), pa.array(place), pa.array(np.concatenate(first) if first else np.empty(0, np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "c", "size", "place", "shingle"])
+
+    return run
+
+
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of ``crowd`` (node, c) from different components that may link: they
     share one of their rarest shingles, at places that leave enough others."""
-    spread = cut(crowd.join(sets, "node").select("node", "c", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
-    often = cut(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")))
-    ranked = look_up(spread, often, ["shingle"], "often", spread.count()).groupBy("node", "c", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
-    prefix = F.col("size") - F.ceil(F.col("size") * LEAST_PERCENT / 100) + 1
-    kept = cut(ranked.select("node", "c", "size", F.posexplode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("place", "x")).select("node", "c", "size", "place", F.col("x.shingle").alias("shingle")))
+    whole = cut(crowd.join(sets, "node").select("node", "c", "shingles"))
+    shingle = whole.select(F.explode("shingles").alias("shingle"))
+    got = shingle.groupBy(F.col("shingle").bitwiseAND(F.lit(OFTEN - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # OFTEN rows at most
+    counts = np.zeros(OFTEN, np.int64)
+    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    often = crowd.sparkSession.sparkContext.broadcast(counts.tobytes())
+    kept = cut(whole.mapInArrow(_prefixes(often), "node long, c long, size long, place long, shingle long"))
     several = kept.groupBy("shingle").agg(F.min("c").alias("_least"), F.max("c").alias("_most")).where("_least < _most").select("shingle")
     kept = cut(kept.join(several, "shingle", "left_semi"))
     other = kept.select("shingle", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))

@@ -132,10 +132,12 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches,
     by alternating large-star and small-star steps until nothing changes."""
     state, seen = cut(edges.select("a", "b").where("a <> b").distinct()), None
+    held = state.count()
     while True:
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).union(state.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # the centre of a star has as many edges as the star has members
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = look_up(both, least, ["u"], "n", 2 * held).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # now u > v everywhere; small star: all smaller neighbours and u itself go to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -143,7 +145,7 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, held = mark, mark[0]
     roots = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(state.select("b", "b").distinct())
 
