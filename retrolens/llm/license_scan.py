@@ -1,14 +1,17 @@
 """Licence scan by canonical digest lookup.
 
-A text is brought to a canonical form: lower case, equivalent spellings made
-one, copyright lines dropped, everything but letters and digits turned into
-single spaces. The SHA-256 of the whole canonical text is joined with the
-digests of known licence texts. Only built-in functions are used.
+A text is brought to a canonical form line by line: lower case, equivalent
+spellings made one, everything but letters and digits turned into single spaces,
+copyright statements dropped (with a year or without, at the head of a longer
+line or alone) and lines dropped that hold nothing but a licence's title. The
+SHA-256 of the whole canonical text is joined with the digests of known licence
+texts: ``license``. Besides, lines as long as a known one-line notice are joined
+by their digests: ``notices``. Only built-in functions are used.
 
 Defined results: a null text counts as empty; a text whose canonical form is
 empty matches no licence; equal rows each get a row; known texts with the same
-canonical form count once (smallest name); an empty table gives an empty
-result; extra columns are ignored.
+canonical form count once (smallest name); an id that is no integer is carried
+as null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, row_id
+
 #: Spellings that licence matching treats as one.
 SPELLINGS = (
     ("licence", "license"),
@@ -34,7 +39,21 @@ SPELLINGS = (
     ("(c)", "copyright"),
     ("©", "copyright"),
 )
-_COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright [^\n]*[0-9]{4}|all rights reserved)[^\n]*"
+#: Titles that stand above a licence's text, in canonical form.
+TITLES = (
+    "license", "license text", "mit", "mit license", "the mit license", "the mit license mit", "mit license mit", "expat license", "mit 0", "mit no attribution", "mit no attribution license",
+    "isc", "isc license", "the isc license", "isc license isc", "0bsd", "bsd zero clause license", "zero clause bsd", "zero clause bsd license", "bsd license",
+    "bsd 2 clause", "bsd 2 clause license", "the bsd 2 clause license", "simplified bsd license", "bsd 2 clause simplified license", "freebsd license",
+    "bsd 3 clause", "bsd 3 clause license", "the bsd 3 clause license", "new bsd license", "revised bsd license", "modified bsd license", "bsd 3 clause new or revised license",
+    "zlib", "zlib license", "the zlib license",
+)
+#: Words after "copyright" where a wrapped line of a licence's own text goes on.
+GOES_ON = (
+    "holder", "holders", "owner", "owners", "notice", "notices", "license", "licenses", "law", "laws", "act", "interest", "interests", "statement", "statements", "protection", "treaty",
+    "and", "or", "in", "on", "to", "is", "of", "as", "are", "for", "the", "a", "this", "that", "which", "by", "with", "disclaimer", "infringement", "status", "assignment",
+)
+#: How licence texts begin; a copyright statement before them on the same line ends there.
+OPENINGS = ("permission is hereby granted", "permission to use", "redistribution and use", "licensed under the", "released under the", "this software is provided")
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
 _NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -65,13 +84,47 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty for null."""
+#: SHA-256 of the canonical forms of licences in common use, too long to be given as texts.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "6ac6fd4f2c97251b88ad9f714747fbaa7ee55fc9d89c957efd3b001c6e119079"),
+    ("Artistic-1.0-Perl", "a0704f8e4bb86d390b13a61e76900d7f01e306e8eff6aee99c40c905e77b4b80"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "5b70249b146cbacc93a2d67b43dacf44c48ce8cfb229320047f2c30f7c27a489"),
+    ("GPL-2.0", "ada43b21b16dd64b4b8f1d9c2ab43ff16f75a8f0f835fc2f37a0c7e65f28d243"),
+    ("GPL-3.0", "8e9861f0241ecdbed164792fa0250e24aa9d80c465b5a3fa3fb1b343e7d0e11f"),
+    ("LGPL-2.0", "c36ee56beb8d6b7858c078dd0dde2d921f57cb188ec055ab9ffc8fa4879cb4e4"),
+    ("LGPL-2.1", "c0ce92e93c060a966ef1fbe8efd240fbcb70fe73aa91be8ea554a2861382b3ae"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "943b3fdc7f6980b75d990eacb1a87912fc1b4207612a5a8c728ed14706534a2d"),
+    ("MPL-2.0", "29c715c830b16615bed8ce9fa11adb1ed035c074e9c27cfb5ee68c803276d97b"),
+)
+
+
+def _drop(line: Column) -> Column:
+    """Whether a canonical line is a copyright statement, or a title."""
+    named = line.rlike("^(portions |parts )?copyright( |$)")
+    goes_on = line.rlike(f"^(portions |parts )?copyright ({'|'.join(GOES_ON)})( |$)") & ~line.rlike("(^| )[0-9]{4}( |$)")
+    return (line == "") | (named & ~goes_on) | line.isin(*TITLES)
+
+
+def lines(text: Column) -> Column:
+    """The canonical lines of a text; none for null."""
     out = F.lower(F.coalesce(text, F.lit("")))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, _COPYRIGHT_LINE, "\n")
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    out = F.replace(out, F.lit("all rights reserved"), F.lit("\n"))
+    for a in OPENINGS:
+        out = F.replace(out, F.lit(a), F.lit("\n" + a))
+    out = F.regexp_replace(out, r"(copyright (copyright |[0-9]{4}))", "\n$1")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+    return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: ~_drop(x))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; empty for null."""
+    return F.array_join(lines(text), " ")
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -79,34 +132,58 @@ def known_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license string, text string")
 
 
-def scan(docs: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_canonical, digest, license), a row per input row; license is
-    null where the whole text is no known licence."""
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(license, digest) of licences known by their digests alone."""
+    return spark.createDataFrame(list(DIGESTS), "license string, digest string")
+
+
+def scan(docs: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_id", digests: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_canonical, digest, license, notices), a row per input row;
+    license is null where the whole text is no known licence; notices: names of
+    the one-line notices (known texts named ``notice:``) that are lines of the
+    text, sorted and parted by commas, null if there is none."""
     digest = lambda c: F.sha2(c, 256)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), canonical(F.col(text)).alias("_form"))
-    rows = rows.select("doc_id", F.length("_form").cast("long").alias("n_canonical"), digest(F.col("_form")).alias("digest"))
     table = known.select("license", canonical(F.col("text")).alias("_form")).where("_form <> ''")
-    table = table.select("license", digest(F.col("_form")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
-    return rows.join(table, "digest", "left").select("doc_id", "n_canonical", "digest", "license")
+    short = table.where("license LIKE 'notice:%'").agg(F.array_sort(F.collect_set(F.length("_form")))).first()[0]  # as many as there are notices at most
+    table = table.select("license", digest(F.col("_form")).alias("digest"))
+    listed = (table if digests is None else table.union(digests)).groupBy("digest").agg(F.min("license").alias("license"))
+    rows = docs.select(row_id(key).alias("doc_id"), lines(F.col(text)).alias("_lines"))
+    form = F.array_join("_lines", " ")
+    cited = F.transform(F.filter("_lines", lambda x: F.length(x).isin(*short)), digest) if short else F.array().cast("array<string>")
+    # a row's number tells equal rows apart; materialised, it stays
+    rows = cut(rows.select("doc_id", F.length(form).cast("long").alias("n_canonical"), digest(form).alias("digest"), F.array_distinct(cited).alias("_cited"), F.monotonically_increasing_id().alias("_row")))
+    hits = rows.select("_row", F.explode("_cited").alias("digest")).join(listed.where("license LIKE 'notice:%'"), "digest")
+    hits = hits.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    return rows.join(listed, "digest", "left").join(hits, "_row", "left").select("doc_id", "n_canonical", "digest", "license", "notices")
 
 
 def oracle_sql() -> str:
     """scan() over documents with the built-in licences, for DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    several = lambda words: ", ".join(map(quote, words))
 
     def form(c: str) -> str:
         c = f"lower(coalesce({c}, ''))"
         for a, b in SPELLINGS:
             c = f"replace({c}, {quote(a)}, {quote(b)})"
-        pattern = quote(_COPYRIGHT_LINE).replace("\\n", "\\n")
-        c = f"regexp_replace({c}, {pattern}, chr(10), 'g')"
-        return f"trim(regexp_replace({c}, {quote(chr(91) + '^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g'))"
-
+        c = f"replace({c}, 'all rights reserved', chr(10))"
+        for a in OPENINGS:
+            c = f"replace({c}, {quote(a)}, chr(10) || {quote(a)})"
+        c = f"regexp_replace({c}, '(copyright (copyright |[0-9]{{4}}))', chr(10) || '\\1', 'g')"
+        c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+        return f"list_transform(string_split({c}, chr(10)), lambda x: trim(x, ' '))"
+
+    start = "^(portions |parts )?copyright"
+    drop = f"x = '' OR x IN ({several(TITLES)}) OR (regexp_matches(x, '{start}( |$)') AND NOT (regexp_matches(x, '{start} ({'|'.join(GOES_ON)})( |$)') AND NOT regexp_matches(x, '(^| )[0-9]{{4}}( |$)')))"
+    kept = lambda c: f"list_filter({form(c)}, lambda x: NOT ({drop}))"
     values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    held = ", ".join(f"({quote(n)}, {quote(d)})" for n, d in DIGESTS)
     return f"""
-WITH known(license, text) AS (VALUES {values}),
-forms AS (SELECT license, {form('text')} AS form FROM known),
-listed AS (SELECT sha256(form) AS digest, min(license) AS license FROM forms WHERE form <> '' GROUP BY 1),
-docs AS (SELECT doc_id, {form('text')} AS form FROM documents)
-SELECT doc_id, length(form) AS n_canonical, sha256(form) AS digest, license
-FROM docs LEFT JOIN listed ON listed.digest = sha256(docs.form)"""
+WITH known(license, text) AS (VALUES {values}), held(license, digest) AS (VALUES {held}),
+forms AS (SELECT license, array_to_string({kept('text')}, ' ') AS form FROM known),
+listed AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(form) AS digest FROM forms WHERE form <> '' UNION ALL SELECT * FROM held) GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {kept('text')} AS ls FROM documents),
+lined AS (SELECT r, unnest(ls) AS l FROM docs),
+cited AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lined JOIN listed ON listed.digest = sha256(l) WHERE license LIKE 'notice:%' GROUP BY r)
+SELECT doc_id, length(array_to_string(ls, ' ')) AS n_canonical, sha256(array_to_string(ls, ' ')) AS digest, license, notices
+FROM docs LEFT JOIN listed ON listed.digest = sha256(array_to_string(ls, ' ')) LEFT JOIN cited USING (r)"""

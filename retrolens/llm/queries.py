@@ -29,7 +29,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_texts(spark))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_texts(spark), digests=license_scan.known_digests(spark))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
