@@ -9,15 +9,20 @@ Archives are written by Spark's own text writer: a record is UTF-8 text that
 ends in two CRLFs, which is the line separator given. So files go to any store
 that Spark writes, are committed whole, and a lost executor's task is repeated.
 Reading takes the archives as binary files and parses records by their
-Content-Length; a file is bounded by ``RECORDS_A_FILE`` records.
+Content-Length. Pages are written by classes of size, each with as many records
+to a file as keep it below ``FILE_BYTES`` (or at one capture, if that is larger).
+A file is one compressed stream, since Spark's writers don't compress by record.
 
 Of records with equal payloads of at least ``min_revisit_bytes`` bytes, that
 with the largest page_id is the response and the others revisit it; smaller
-payloads are all responses.
+payloads are all responses. A revisit's declared digest and length are compared
+with the response that it refers to: ``consistent``.
 
 Defined results: null html is an empty payload, null url an empty target; rows
-with equal page_id and html give one capture each, of which with equal largest
-ids all are responses; a null page_id is never the response of another; an
+with equal page_id and html give one capture each, also if the urls are equal:
+record ids follow from id, url, payload and the number of the copy; with equal
+largest ids all are responses, and revisits refer to the one of the smallest url;
+a null page_id, or one that is no integer, is never the response of another; an
 empty table gives empty archives and an empty result. Extra columns are ignored.
 """
 
@@ -34,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few, look_up, row_id
 
-RECORDS_A_FILE = 6_000
+#: Bytes of a file before compression, about, and of the smallest class of records.
+FILE_BYTES, LEAST_CLASS = 64 << 20, 16 << 10
 #: The times of synthetic captures and the hexadecimal digits of base32's letters.
 CAPTURED_AT = "2020-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -72,22 +78,52 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
+def _rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    rows = pages.select(row_id(key).alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+    return rows.withColumn("mark", F.xxhash64("html")).withColumn("size", F.octet_length("html").cast("long"))
+
+
+def _decisions(rows: DataFrame, min_revisit_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(page_id, mark, digest, size, last_id, last_url) for each id and payload,
+    payloads hashed once; and the (page_id, url, mark) of which there are copies."""
+    held = cut(rows.groupBy("page_id", "url", "mark", "size", base32_sha1(F.col("html")).alias("digest")).agg(F.count(F.lit(1)).alias("copies")))
+    # the largest id and its smallest url
+    large = held.where((F.col("size") >= min_revisit_bytes) & F.col("page_id").isNotNull())
+    last = large.groupBy("digest").agg(F.min(F.struct((-F.col("page_id")).alias("id"), "url")).alias("l"))
+    many = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    last = cut(many.join(last, "digest", "left").select("digest", "n", (-F.col("l.id")).alias("last_id"), F.col("l.url").alias("last_url")))
+    known = held.select("page_id", "mark", "size", "digest").distinct()
+    revisit = (F.col("size") >= min_revisit_bytes) & (F.col("page_id") < F.col("last_id"))
+    decided = look_up(known, last, ["digest"], "n", held.count()).select("page_id", "mark", "digest", "size", *[F.when(revisit, F.col(c)).alias(c) for c in ("last_id", "last_url")])
+    return cut(decided), cut(held.where("copies > 1").select("page_id", "url", "mark", "copies"))
+
+
+def _decided(rows: DataFrame, decisions: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` with their decisions and a number ``copy`` among equal rows."""
+    at = decisions.select(F.col("page_id").alias("_page"), F.col("mark").alias("_mark"), "digest", "last_id", "last_url")
+    on = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("mark") == F.col("_mark"))
+    if repeated.isEmpty():
+        rows = rows.withColumn("copy", F.lit(1))
+    else:
+        twin = few(repeated.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("mark").alias("_m")))
+        same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("url") == F.col("_u")) & (F.col("mark") == F.col("_m"))
+        # equal rows become one with partial aggregates, however many, and then as many again
+        one = rows.join(twin, same, "left_semi").groupBy("page_id", "url", "mark", "size").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("copies"))
+        again = one.select("page_id", "url", "html", "mark", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        rows = rows.join(twin, same, "left_anti").withColumn("copy", F.lit(1)).unionByName(again)
+    return rows.join(at, on).drop("_page", "_mark", "mark")
+
+
 def captures(pages: DataFrame, min_revisit_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A row per page with the decision: response or revisit, and of which page."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
-    rows = rows.withColumn("mark", F.xxhash64("html")).withColumn("size", F.octet_length("html").cast("long"))
-    # payloads are hashed once; pages with one id and one payload are the same capture
-    known = cut(rows.select("page_id", "mark", base32_sha1(F.col("html")).alias("digest"), "size").distinct())
-    last = known.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last_id"))
-    # small rows are joined by payload; the pages themselves only by their own ids
-    revisit = (F.col("size") >= min_revisit_bytes) & (F.col("page_id") < F.col("last_id"))
-    decided = known.join(last, "digest", "left").select(F.col("page_id").alias("_page"), F.col("mark").alias("_mark"), "digest", F.when(revisit, F.col("last_id")).alias("last_id"))
-    return rows.join(decided, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("mark") == F.col("_mark"))).drop("_page", "_mark", "mark")
+    rows = _rows(pages, key, url, html)
+    return _decided(rows, *_decisions(rows, min_revisit_bytes))
 
 
 def records(decided: DataFrame) -> DataFrame:
     """(value): the text of every record, three for each capture."""
-    row = F.concat_ws("|", "page_id", "digest")
+    named = lambda page, url, copy: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), F.col("digest"), copy.cast("string"), url)
+    row = named(F.col("page_id"), F.col("url"), F.col("copy"))
     target = F.regexp_replace("url", r"[\r\n]", "")
     target = F.when(target != "", target)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
@@ -101,7 +137,7 @@ def records(decided: DataFrame) -> DataFrame:
                 ("WARC-Record-ID", own),
                 *common,
                 ("WARC-Payload-Digest", digest),
-                ("WARC-Refers-To", _uid(F.concat_ws("|", "last_id", "digest"), "response")),
+                ("WARC-Refers-To", _uid(named(F.col("last_id"), F.col("last_url"), F.lit(1)), "response")),
                 ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                 ("Content-Type", F.lit("application/http; msgtype=response")),
             ],
@@ -117,8 +153,14 @@ def records(decided: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, place: str, min_revisit_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> str:
     """Write the archives of all pages into a folder of the shared store."""
-    text = records(captures(pages, min_revisit_bytes, key, url, html))
-    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(place)
+    rows = _rows(pages, key, url, html)
+    decisions, repeated = _decisions(rows, min_revisit_bytes)
+    bound = F.greatest(F.lit(0), F.ceil(F.log2((F.col("size") + 1) / LEAST_CLASS) / 2)).cast("int")  # up to LEAST_CLASS * 4 ** bound bytes
+    classes = sorted(r[0] for r in decisions.select(bound.alias("c")).distinct().collect())  # 16 at most
+    for c in classes or [0]:
+        a_file = max(3, 3 * (FILE_BYTES // (LEAST_CLASS * 4**c + 2048)))  # three records a capture
+        text = records(_decided(rows.where(bound == c), decisions.where(bound == c).drop("size"), repeated))
+        text.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", a_file).text(place)
     return place
 
 
@@ -199,11 +241,20 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def capture_table(spark: SparkSession, place: str, with_block: bool = True) -> DataFrame:
-    """The captures of the archives in a folder, revisits with the page they refer to."""
-    whole = assemble(read_records(spark, place, with_block))
-    named = whole.where(F.col("response.kind") == "response").select(F.col("response.record_id").alias("_rid"), F.col("page_id").alias("refers_to_page"))
-    named = named.groupBy("_rid").agg(F.max("refers_to_page").alias("refers_to_page"))
-    return whole.join(named, whole["response.refers_to"] == named["_rid"], "left").drop("_rid")
+    """The captures of the archives in a folder, revisits with the page they refer
+    to; consistent: whether the declared digest is that of the payload (of a
+    revisit: digest and length are those of the response), null if none is
+    declared."""
+    found = cut(read_records(spark, place, with_block))
+    asked = found.where("kind = 'revisit' AND refers_to IS NOT NULL").select("record_id", F.col("refers_to").alias("_rid"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
+    counted = asked.groupBy("_rid").agg(F.count(F.lit(1)).alias("n"))
+    first = found.where("kind = 'response'").groupBy(F.col("record_id").alias("_rid")).agg(F.max("page_id").alias("refers_to_page"), F.max("payload_digest").alias("d_first"), F.max("payload_bytes").alias("b_first"))
+    told = look_up(asked, cut(counted.join(first, "_rid")), ["_rid"], "n", found.count())
+    told = told.select(F.col("record_id").alias("_own"), "refers_to_page", (F.col("d").eqNullSafe(F.col("d_first")) & F.col("b").eqNullSafe(F.col("b_first"))).alias("_same"))
+    whole = assemble(found)
+    whole = whole.join(told, whole["response.record_id"] == told["_own"], "left")
+    own = F.col("response.payload_digest") == F.col("response.declared_digest")
+    return whole.withColumn("consistent", F.when(F.col("response.kind") == "revisit", F.coalesce("_same", F.lit(False))).otherwise(own)).drop("_own", "_same")
 
 
 def new_folder(shared: str) -> str:
