@@ -9,16 +9,18 @@ document word for word; shorter ones overlap nothing.
 The window is cut into four blocks. Two substituted words spoil at most two
 blocks, so two blocks agree: the six fixed masks, each looking at two blocks
 and ignoring the words between, meet every such window. Mask hashes of the
-benchmark go into a bit filter of fixed size (``FILTER_BITS``, whatever the
-benchmark's size), which is all that is broadcast. Windows of documents that
-pass it are joined with the benchmark's mask hashes on equality, and the words
-of both windows are compared: false hits go, substitutions within the limit
-stay.
+benchmark go into a bit filter with ``BITS_A_SEED`` bits for each, which is all
+that is broadcast: 2 ** ``MOST_BITS`` bits (32 MB) at most. A larger benchmark is
+dealt by its hashes into several filters, one pass over the documents each, so a
+pass never lets more than one window in hundreds through by chance. Windows of
+documents that pass are joined with the benchmark's mask hashes on equality, and
+the words of both windows are compared: false hits go, substitutions within the
+limit stay.
 
 Defined results: null and empty texts overlap nothing, a null doc_id or item_id
 is carried as null, items with equal texts count once (smallest id),
 repeated documents give one row per (doc_id, item_id), and empty tables give an
-empty result. Extra columns are ignored.
+empty result. An id that is no integer counts as null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MIX_A, _MULT, chunks, cut, mix, span_hashes
+from .common import _MIX_A, _MULT, chunks, cut, few, mix, row_id, span_hashes
 
 WINDOW, MISSES, SHORTEST = 13, 2, 5
 #: Words of a window by block; any two blocks form a mask.
 BLOCKS = ((0, 4), (4, 7), (7, 10), (10, 13))
 MASKS = tuple(itertools.combinations(range(len(BLOCKS)), 2))
-#: Bits of the broadcast filter (4 MB) and probes for each hash.
-FILTER_BITS, PROBES = 25, 3
+#: Size of the broadcast filter: bits for each mask hash, at least and at most 2 to the power of; probes for each hash.
+BITS_A_SEED, LEAST_BITS, MOST_BITS, PROBES = 16, 16, 28, 3
+#: Mask hashes of a benchmark that is short enough to be broadcast whole (some 10 MB).
+FEW_SEEDS = 1 << 16
+_BITS = 28
+#: Copies of a benchmark too large to be broadcast, so that the hits of one hash are dealt over as many tasks.
+DEAL = 16
 _CHUNK_CHARS = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -126,7 +133,7 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 k = keys.shape[1]
                 rows = np.repeat(np.arange(len(at)), k)
                 flat = keys.reshape(-1)
-                bits = np.stack([(flat * odd) >> np.uint64(64 - FILTER_BITS) for odd in _ODD[:PROBES]], axis=1)
+                bits = np.stack([(flat * odd) >> np.uint64(64 - _BITS) for odd in _ODD[:PROBES]], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a).take(pa.array(text_of[rows])),
@@ -142,7 +149,7 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
-def _document_batches(filter_: object, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _document_batches(filter_: object, bits: int, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Windows of documents that the filter lets pass, with the seeds that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +166,7 @@ def _document_batches(filter_: object, sizes: list[int]) -> Callable[[Iterator[p
                         flat = np.ascontiguousarray(keys[:, mask])
                         hit = np.arange(len(flat))
                         for odd in _ODD[:PROBES]:
-                            bit = (flat[hit] * odd) >> np.uint64(64 - FILTER_BITS)
+                            bit = (flat[hit] * odd) >> np.uint64(64 - bits)
                             hit = hit[(bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
                         if not len(hit):
                             continue
@@ -185,7 +192,7 @@ def _document_batches(filter_: object, sizes: list[int]) -> Callable[[Iterator[p
 
 def item_seeds(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
     """The benchmark's side of the join: a row for each window and mask."""
-    rows = benchmark.select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text"))
+    rows = benchmark.select(row_id(key).alias("item_id"), F.col(text).alias("text"))
     rows = rows.groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
     return rows.mapInArrow(_item_batches, "item_id long, item_at long, item_words long, size int, mask int, seed long, item_window array<long>, bits array<long>")
 
@@ -195,23 +202,48 @@ def _met(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item_text:
     texts under one doc_id apart."""
     spark = docs.sparkSession
     seeds = cut(item_seeds(benchmark, item_text, item_key))
-    bits = seeds.select(F.explode("bits").alias("bit"))
-    held = bits.groupBy(F.shiftright("bit", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("part"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for place, part in held.collect():  # no more rows than the filter has places
-        bitmap[place] = np.uint64(part & 0xFFFFFFFFFFFFFFFF)
+    count, room = seeds.count(), (1 << MOST_BITS) // BITS_A_SEED
+    slices = max(1, -(-count // room))
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # WINDOW values at most
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("doc_mark"))
-    hits = rows.mapInArrow(_document_batches(shared, sizes), "doc_id long, doc_mark long, doc_at long, doc_size int, doc_mask int, doc_seed long, doc_window array<long>")
-
+    rows = docs.select(row_id(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("doc_mark"))
+    short = count // slices <= FEW_SEEDS
+    met = None
+    for i in range(slices):
+        held = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(slices)) == i) if slices > 1 else seeds
+        bits = min(MOST_BITS, max(LEAST_BITS, (count // slices * BITS_A_SEED).bit_length()))
+        shared = spark.sparkContext.broadcast(_bitmap(held, bits))
+        hits = rows.mapInArrow(_document_batches(shared, bits, sizes), "doc_id long, doc_mark long, doc_at long, doc_size int, doc_mask int, doc_seed long, doc_window array<long>")
+        found = _compared(hits, held.drop("bits"), short)
+        met = found if met is None else met.unionByName(found)
+    return met
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> bytes:
+    """The filter of 2 ** bits bits."""
+    bit = F.shiftright("bit", _BITS - bits)
+    held = seeds.select(F.explode("bits").alias("bit")).groupBy(F.shiftright(bit, 6).alias("place")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftright(bit, {_BITS - bits}) & 63 AS INT))")).alias("part"))
+    got = held.toArrow()  # no more rows than the filter has places, 64 MB at most
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[got.column("place").to_numpy()] = got.column("part").to_numpy().view(np.uint64)
+    return bitmap.tobytes()
+
+
+def _compared(hits: DataFrame, seeds: DataFrame, short: bool) -> DataFrame:
+    """Hits joined with the benchmark's windows, those that agree. A benchmark
+    that isn't short is dealt, since one hash may be hit by any number of windows."""
     same = [F.col("doc_window")[i] == F.col("item_window")[i] for i in range(WINDOW)]
     matches = functools.reduce(lambda x, y: x + y, [s.cast("int") for s in same])
     whole = [functools.reduce(lambda x, y: x & y, same[a:b]) for a, b in BLOCKS]
     first = functools.reduce(lambda so_far, m: F.when(whole[MASKS[m][0]] & whole[MASKS[m][1]], F.lit(m)).otherwise(so_far), reversed(range(len(MASKS))), F.lit(-1))
     long_ok = (matches >= WINDOW - MISSES) & (first == F.col("mask"))
     on = (F.col("doc_seed") == F.col("seed")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_mask") == F.col("mask"))
-    met = hits.join(seeds.drop("bits"), on & F.when(F.col("size") == WINDOW, long_ok).otherwise(matches == WINDOW))
+    if short:
+        seeds = F.broadcast(seeds)
+    else:
+        hits = hits.withColumn("_deal", F.pmod(F.xxhash64("doc_id", "doc_mark", "doc_at"), F.lit(DEAL)))
+        seeds = seeds.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+        on = on & (F.col("_deal") == F.col("_to"))
+    met = hits.join(seeds, on & F.when(F.col("size") == WINDOW, long_ok).otherwise(matches == WINDOW))
     return met.select("doc_id", "doc_mark", "item_id", "item_words", F.col("doc_at"), (F.col("doc_at") + F.col("size")).alias("doc_end"), (matches - (F.lit(WINDOW) - F.col("size"))).alias("n"))
 
 
@@ -228,8 +260,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """The documents that overlap no item, columns as they came."""
-    bad = _met(docs, benchmark, text, key, item_text, item_key).select(F.col("doc_id").alias("_hit"), "doc_mark").distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["_hit"]) & (F.xxhash64(docs[text]) == bad["doc_mark"]), "left_anti")
+    bad = cut(_met(docs, benchmark, text, key, item_text, item_key).select(F.col("doc_id").alias("_hit"), "doc_mark").distinct())
+    return docs.join(few(bad), row_id(docs[key]).eqNullSafe(bad["_hit"]) & (F.xxhash64(docs[text]) == bad["doc_mark"]), "left_anti")
 
 
 def oracle_sql() -> str:
