@@ -25,8 +25,8 @@ word, and by the pair for hot words, so no bucket holds all of a hot word. The
 pair counts, the histories' weights and the unigram counts are written as
 partitioned tables in the shared folder, and each token is evaluated from the
 answers, recursively: pair, else weight and unigram, else unknown class. The
-second reading of the documents must give the batches of the first; sums of
-hashes are compared, and a difference raises an error.
+documents are read three times in one order: an input that isn't a plain scan of
+files is written to a table first. Sums of hashes guard it.
 
 Defined results: a null text is empty and has the end token alone; a null id
 counts as held out; equal rows are documents of their own; without training
@@ -36,6 +36,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -47,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MIX_A, BYTE_VALUE, byte_words, chunks, cut, mix, release, shared_dir, span_hashes
+from .common import _MIX_A, BYTE_VALUE, byte_words, chunks, cut, mix, release, row_id, shared_dir, span_hashes
 
 #: Counts up to K are discounted by Good-Turing.
 K = 5
@@ -265,15 +266,16 @@ def _answers(shared: object, p_discount: Discount, total: int, history_buckets:
         for batch, (bw, bh, _, run_) in zip(batches, parts, strict=True):
             mine = pair[at : at + len(bw)]
             at += len(bw)
-            c = count[mine].astype(np.uint32)
+            c = count[mine].astype(np.uint64)
             lead = np.concatenate([[0], np.cumsum(run_)[:-1]]).astype(np.int64)
-            rows.append(("answer", batch, int(group.column("bucket")[0].as_py()), _mark(bw, bh), pack(run_, of_word[mine[lead]].astype(np.uint32), c, bh[c == 0])))
+            rows.append(("answer", batch, int(group.column("bucket")[0].as_py()), _mark(bw, bh), pack(run_, of_word[mine[lead]].astype(np.uint64), c, bh[c == 0])))
         del parts, pair
         seen = count > 0
         pw, ph, count, of_word = pw[seen], ph[seen], count[seen], of_word[seen]
         bucket = int(group.column("bucket")[0].as_py())
-        rows.append(("pairs", bucket, len(pw), 0, pack(pw, ph, count.astype(np.uint32))))
-        rows.append(("seen", bucket, 0, 0, pack(np.bincount(np.minimum(count, K + 2), minlength=K + 3)[1 : K + 2])))
+        rows.append(("pairs", bucket, len(pw), 0, pack(pw, ph, count.astype(np.uint64))))
+        for r, n in enumerate(np.bincount(np.minimum(count, K + 2), minlength=K + 3)[1 : K + 2]):
+            rows.append(("seen", r, int(n), 0, b""))
         if len(ph):
             order = np.argsort(ph, kind="stable")
             ph, count, mass = ph[order], count[order], p_discount(of_word[order]) / total
@@ -286,7 +288,7 @@ def _answers(shared: object, p_discount: Discount, total: int, history_buckets:
             cuts = np.searchsorted(deal[order], np.arange(history_buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 s = order[cuts[b] : cuts[b + 1]]
-                rows.append(("history", int(b), len(s), 0, pack(ph[s], mass[s], *[x[s].astype(np.uint32) for x in sums])))
+                rows.append(("history", int(b), len(s), 0, pack(ph[s], mass[s], *[x[s].astype(np.uint64) for x in sums])))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "a", "b", "mark", "blob"])
 
@@ -395,7 +397,7 @@ def _evaluate(shared: object, alphas: object, words: Discount, pairs: Discount,
 
 def held_out(key: Column) -> Column:
     """Whether crc32 of the id as text leaves 0 modulo 10; true for null."""
-    return F.coalesce(F.crc32(key.cast("long").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    return F.coalesce(F.crc32(row_id(key).cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
 @dataclass(frozen=True)
@@ -423,13 +425,21 @@ class Model:
         return spark.read.parquet(f"{self.place}/words")
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether the rows come straight from files, in the same order each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", line) for line in plan.splitlines() if line.strip())
+
+
 def score_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id", place: str | None = None, batch_words: int = BUCKET_TOKENS) -> tuple[DataFrame, Model]:
     """Learn from the training documents and score all. Returns (doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score), a row per
     input row, and the model."""
     spark = docs.sparkSession
     place = place or f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"), (~held_out(F.col(key))).alias("train"))
+    if not _plain_scan(docs):
+        docs = cut(docs.select(key, text))
+    rows = docs.select(row_id(key).alias("doc_id"), F.col(text).cast("binary").alias("body"), (~held_out(F.col(key))).alias("train"))
 
     counted = rows.mapInArrow(_word_counts, "word long, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
     counted.write.parquet(f"{place}/words")
@@ -458,8 +468,8 @@ def score_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id", place
     # an empty table writes no kind at all
     counts = spark.read.schema(ANSWER).parquet(f"{place}/counts")
     pair_seen = np.zeros(K + 1, np.int64)
-    for r in counts.where("kind = 'seen'").select("blob").toLocalIterator():  # K + 1 numbers for each bucket
-        pair_seen += unpack(r[0])[0]
+    for r in counts.where("kind = 'seen'").groupBy("a").agg(F.sum("b").alias("n")).collect():  # K + 1 rows
+        pair_seen[r.a] = r.n
     two = good_turing(pair_seen.tolist())
 
     weights = counts.where("kind = 'history'").groupBy("a").applyInArrow(_weights(two), "history long, n long, alpha double")
