@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_id
+
 #: The strings that mark turns.
 CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[/ROLE]")
 _NEEDS = r"[\\]|\[/?INST\]|</?s>|\[/?ROLE\]"
@@ -120,9 +122,15 @@ def assemble(roles: pa.Array, texts: pa.Array, firsts: np.ndarray) -> tuple[pa.A
     # code points: bytes that don't continue a character
     turn_bytes = np.concatenate([[0], ends[2::3]])
     conv = np.append(turn_bytes[firsts], total)
-    count = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)]) if total else np.zeros(1, np.int64)
-    base = count[conv[np.searchsorted(firsts, np.arange(n), "right") - 1]] if n else np.zeros(0, np.int64)
-    start, end = count[begins[1::3]] - base, count[ends[1::3]] - base
+    chars, held = np.zeros(len(flat_l), np.int64), flat_l > 0
+    for a in range(0, total, step):  # no number for each byte is ever held
+        b = min(total, a + step)
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(begins, b, "left"))
+        some = np.arange(i, j)[held[i:j]]
+        chars[some] += np.add.reduceat(((out[a:b] & 0xC0) != 0x80).view(np.uint8), np.maximum(begins[some], a) - a, dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(chars)])
+    base = before[3 * firsts[np.searchsorted(firsts, np.arange(n), "right") - 1]] if n else np.zeros(0, np.int64)
+    start, end = before[1:-1:3] - base, before[2::3] - base
     strings = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(conv.astype(np.int64).tobytes()), pa.py_buffer(out))
     spoken = np.array([r == "assistant" for r in names], bool)[kind] if n else np.zeros(0, bool)
     return strings, spoken, start, end
@@ -173,7 +181,7 @@ def _format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, n_turns, formatted, loss): one row for each conversation."""
-    df = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    df = rows.select(row_id(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     df = df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return df.select("conv_id", "role", "text").mapInArrow(_format_batches, FORMATTED)
 

@@ -28,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_id
+
 BUCKETS = 10_000
 #: Added to each bucket's count on either side.
 SMOOTHING = 1.0
@@ -140,7 +142,7 @@ def score(text: Column, weight: list[float]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, measures, base_failed, score, kept): one row per input row."""
     weight = weights(docs, labels, text, key)
-    df = measures(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text")
+    df = measures(docs.select(row_id(key).alias("doc_id"), F.col(text).alias("_text")), "_text")
     df = df.withColumn("score", score(F.col("_text"), weight)).drop("_text")
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 

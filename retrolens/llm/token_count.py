@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import row_id
+
 #: Fixed value: how the byte-level pre-tokeniser cuts text.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens that a worker remembers at most before it starts anew.
-REMEMBERED = 1 << 20
+#: Pre-tokens that a worker remembers at most before it starts anew, and their length.
+REMEMBERED, REMEMBERED_CHARS = 1 << 20, 128
 _LONG_TEXT, _RUN = 1 << 20, 1 << 16
 
 
@@ -46,7 +48,7 @@ def byte_letters() -> dict[int, str]:
 class WholeTokenCounter:
     """Counts the tokens of texts; made from the text of a vocabulary file."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, whole: set[str] | None = None):
         held = json.loads(vocabulary)
         shape = (held.get("pre_tokenizer") or {}).get("type"), held["model"]["type"], held.get("normalizer"), (held.get("pre_tokenizer") or {}).get("add_prefix_space")
         if shape != ("ByteLevel", "BPE", None, False):
@@ -60,8 +62,8 @@ class WholeTokenCounter:
             raise ValueError("added tokens that strip or need word ends are not supported")
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cut = regex.compile(PRE_TOKEN)
-        self.whole = set()
-        for string in held["model"]["vocab"]:
+        self.whole = set() if whole is None else whole
+        for string in held["model"]["vocab"] if whole is None else ():
             if all(c in bytes_of for c in string) and len(self.model.tokenize(string)) == 1:
                 try:
                     self.whole.add(bytes(bytes_of[c] for c in string).decode())
@@ -71,9 +73,10 @@ class WholeTokenCounter:
 
     def _merged(self, pre_token: str) -> int:
         n = len(self.model.tokenize(pre_token.encode().decode("latin-1").translate(self.letters)))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[pre_token] = n
+        if len(pre_token) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[pre_token] = n
         return n
 
     def _sum(self, pre_tokens: Counter) -> int:
@@ -99,7 +102,7 @@ class WholeTokenCounter:
 
 def _counted(vocabulary: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WholeTokenCounter(vocabulary.value)
+        counter = WholeTokenCounter(*vocabulary.value)
         for batch in batches:
             counts = [counter.count(x.as_py()) if x.is_valid else 0 for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
@@ -110,6 +113,8 @@ def _counted(vocabulary: object) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row per input row; vocabulary: path of the file."""
     with open(vocabulary, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text).cast("long"), F.lit(0)).alias("n_bytes"))
+        held = f.read()
+    # the proof is made once; tasks get the strings that it found
+    shared = docs.sparkSession.sparkContext.broadcast((held, WholeTokenCounter(held).whole))
+    rows = docs.select(row_id(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text).cast("long"), F.lit(0)).alias("n_bytes"))
     return rows.mapInArrow(_counted(shared), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,6 +1,7 @@
 """The corpus operators against plain Python versions of what they promise."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
@@ -8,7 +9,9 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -151,6 +154,13 @@ def test_decontamination_against_all_windows(spark):
     left = decontaminate.decontaminate(docs_of(spark, rows), benchmark).collect()
     bad = {i for i, _ in want}
     assert Counter(r.doc_id for r in left) == Counter(i for i, _ in rows if i not in bad)
+    # a benchmark of several filters, too large to be broadcast
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "MOST_BITS", 12)
+        m.setattr(decontaminate, "LEAST_BITS", 8)
+        m.setattr(decontaminate, "FEW_SEEDS", 10)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_of(spark, rows), benchmark).collect()} == want
+    assert decontaminate.overlaps(docs_of(spark, rows).where("1 = 0"), benchmark).count() == 0
     empty = benchmark.where("1 = 0")
     assert decontaminate.overlaps(docs_of(spark, rows), empty).count() == 0
     assert decontaminate.decontaminate(docs_of(spark, rows), empty).count() == len(rows)
@@ -161,11 +171,38 @@ def test_decontamination_against_all_windows(spark):
 
 def test_license_scan(spark):
     known = dict(license_scan.KNOWN)
-    mit = "MIT Licence\n\nCopyright (c) 2019 Some One\n" + known["MIT"].replace("sublicense", "sub-license")
-    rows = [(1, known["MIT"]), (2, "Copyright (c) 2019 Someone\nAll rights reserved.\n" + known["MIT"].upper().replace(",", " ;")), (3, mit), (4, known["ISC"] + " more"), (5, "Released under the MIT Licence!"), *ODD]
-    got = {(r.doc_id): r.license for r in license_scan.scan(docs_of(spark, rows), license_scan.known_texts(spark)).collect()}
-    assert got[1] == got[2] == "MIT" and got[3] is None and got[4] is None and got[5] == "notice:MIT"
-    assert got[900] is None and len(got) == len(rows)
+    mit, bsd, isc = known["MIT"], known["BSD-3-Clause"], known["ISC"]
+    wrapped = "\n".join(re.findall(r".{1,70}(?: |$)", mit.replace("\n\n", " ")))
+    rows = [
+        (1, mit), (2, "Copyright (c) 2019 Someone\nAll rights reserved.\n" + mit.upper().replace(",", " ;")), (3, "MIT Licence\n\nCopyright (c) 2019 Some One\n" + mit.replace("sublicense", "sublicence")),
+        (4, isc + " more"), (5, "Released under the MIT Licence!"), (6, "# MIT\n\n" + mit), (7, "Copyright (c) Jane Doe\n\n" + mit), (8, "Copyright 1999-2004 J. Doe, all rights reserved. " + " ".join(mit.split())),
+        (9, "**BSD 3-Clause License**\n\nCopyright © 2001, The Authors\nAll rights reserved.\n\n" + bsd), (10, "/* Copyright Jane Doe */\n" + wrapped), (11, "some text\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0\nReleased under the MIT License"),
+        (12, "copyright holders"), (13, "x" * 300_000 + "\n" + mit), *ODD,
+    ]
+    frame = spark.createDataFrame([(*r, "y", "z") for r in rows], "doc_id long, text string, license string, digest string")
+    found = license_scan.scan(frame, license_scan.known_texts(spark), digests=license_scan.known_digests(spark))
+    got = {r.doc_id: r.license for r in found.collect()}
+    assert {i for i, x in got.items() if x == "MIT"} == {1, 2, 3, 6, 7, 8, 10} and got[9] == "BSD-3-Clause" and got[5] == "notice:MIT"
+    assert all(got[i] is None for i in (4, 11, 12, 13, 900)) and found.count() == len(rows)
+    notices = {r.doc_id: r.notices for r in found.collect()}
+    assert notices[11] == "notice:CC-BY-NC-4.0,notice:MIT" and notices[5] == "notice:MIT" and notices[1] is None
+    assert license_scan.scan(frame.where("1 = 0"), license_scan.known_texts(spark)).count() == 0
+    # the same over a planted table by the SQL
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = con.execute(license_scan.oracle_sql()).fetchall()
+    assert Counter(want) == Counter(tuple(r) for r in found.collect())
+
+
+def test_long_licenses_by_their_digests(spark):
+    """The texts as a Debian system holds them, where there is one."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    places = {n: Path("/usr/share/common-licenses", f) for f, n in names.items()}
+    rows = [(i, "\n\n" + p.read_text().replace("Copyright (C) 2007", "Copyright 2008").upper()) for i, p in enumerate(places.values()) if p.exists()]
+    if not rows:
+        pytest.skip("no such texts here")
+    got = license_scan.scan(docs_of(spark, rows), license_scan.known_texts(spark), digests=license_scan.known_digests(spark)).collect()
+    assert [r.license for r in sorted(got)] == [n for n, p in places.items() if p.exists()]
 
 
 # ---- 3: token counts ----
@@ -383,12 +420,33 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.response.kind, r.refers_to_page) == (("response", None) if first else ("revisit", last[h or ""]))
         assert r.request is not None and r.metadata.block.startswith(f"payload-bytes: {len(body)}")
     assert got[3].response.kind == "response" and got[3].response.block.endswith(html)
+    assert all(r.consistent for r in got.values())
     small = warc.captures(pages, min_revisit_bytes=1).where("page_id IN (4, 5)")
     assert [r.last_id for r in small.collect()] == [None, None]
     empty = warc.write_archives(pages.where("1 = 0"), f"file://{tmp_path}/e")
     assert warc.capture_table(spark, empty).count() == 0
 
 
+def test_warc_repeated_rows_and_broken_revisits(spark, tmp_path, monkeypatch):
+    """Equal ids, payloads and even urls: a capture each, with requests of its own; files bounded by bytes."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rows = [(1, "http://a/x", "same"), (1, "http://b/y", "same"), (1, "http://b/y", "same"), (2, "http://c", "same"), (2, "http://b", "same"), (None, "n", "same"), (None, "n", "same"), (3, "big", "z" * 900_000), (4, "big", "y" * 900_000)]
+    rows += [(100 + i, "u", f"page {i} " * 1500) for i in range(60)]
+    place = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    got = warc.capture_table(spark, place).collect()
+    assert Counter((r.page_id, r.response.target) for r in got) == Counter((i, u) for i, u, _ in rows)
+    assert len({r.response.record_id for r in got}) == len(rows)
+    assert all(r.request.target == r.response.target and r.metadata is not None and r.consistent for r in got)
+    assert all(r.refers_to_page == (2 if r.page_id == 1 else None) for r in got)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 3 and sum(n > 250_000 for n in sizes) == 2  # the two large captures have a file each
+    for p in (tmp_path / "w").glob("part-*"):
+        p.write_bytes(gzip.compress(gzip.decompress(p.read_bytes()).replace(b"Content-Length: 4\r\n\r\nsame", b"Content-Length: 4\r\n\r\nsAme")))
+        (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+    broken = warc.capture_table(spark, place).collect()
+    assert {r.page_id for r in broken if not r.consistent} == {1, 2, None}
+
+
 # ---- 9: URLs ----
 
 
