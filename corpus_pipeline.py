@@ -1,5 +1,11 @@
 """A corpus pipeline: quality rules, near-duplicate removal, benchmark
-decontamination and packing, each stage over all that the one before kept."""
+decontamination and packing, each stage over all that the one before kept.
+
+Null, empty and blank texts fail the quality rules; of repeated rows one stays;
+columns of any name pass through to the last stage, which returns its own; empty
+tables give an empty result. The second stage is the SimHash operator's form for
+stages (five words, similarity 0.8), with MinHash values for its sketch: see
+``retrolens.llm.near_copies`` for why a SimHash can't reach that similarity."""
 
 from __future__ import annotations
 
