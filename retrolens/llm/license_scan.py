@@ -115,8 +115,7 @@ def lines(text: Column) -> Column:
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.replace(out, F.lit("all rights reserved"), F.lit("\n"))
-    for a in OPENINGS:
-        out = F.replace(out, F.lit(a), F.lit("\n" + a))
+    out = F.regexp_replace(out, f"(copyright [^\\n]{{0,200}}?)({'|'.join(OPENINGS)})", "$1\n$2")
     out = F.regexp_replace(out, r"(copyright (copyright |[0-9]{4}))", "\n$1")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: ~_drop(x))
@@ -167,8 +166,7 @@ def oracle_sql() -> str:
         for a, b in SPELLINGS:
             c = f"replace({c}, {quote(a)}, {quote(b)})"
         c = f"replace({c}, 'all rights reserved', chr(10))"
-        for a in OPENINGS:
-            c = f"replace({c}, {quote(a)}, chr(10) || {quote(a)})"
+        c = f"regexp_replace({c}, '(copyright [^\\n]{{0,200}}?)({'|'.join(OPENINGS)})', '\\1' || chr(10) || '\\2', 'g')"
         c = f"regexp_replace({c}, '(copyright (copyright |[0-9]{{4}}))', chr(10) || '\\1', 'g')"
         c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
         return f"list_transform(string_split({c}, chr(10)), lambda x: trim(x, ' '))"
