@@ -288,24 +288,39 @@ class WhatIf:
         keys = numbered.select("_row", F.explode("nodes").alias("node")).join(parts, "node").groupBy("_row").agg(F.min("component").alias("component"))
         return numbered.join(keys, "_row", "left").select("component", "name", "row")
 
+    def _begin(self, access: DataFrame, snapshot: DataFrame | None) -> tuple[list[str], DataFrame, DataFrame]:
+        """Keys that go as a whole, components, and the snapshot's rows with theirs."""
+        scanned = self._scanned(access)
+        if snapshot is None:
+            return scanned, cut(self.components(access)), self.spark.createDataFrame([], STATE)
+        start = snapshot.select("name", "row")
+        parts = cut(self.components(access, start))
+        return scanned, parts, self.placed(start, parts, scanned)
+
+    def _run(self, log: DataFrame, parts: DataFrame, begun: DataFrame) -> DataFrame:
+        # a row that no key ties to the log stays as it is
+        lone = begun.where("component IS NULL").select("name", "row")
+        return self.state(log, parts, begun.where("component IS NOT NULL")).select("name", "row").unionByName(lone)
+
+    def resume(self, log: DataFrame, access: DataFrame, snapshot: DataFrame, at: int) -> DataFrame:
+        """(name, row): the tables after the log, from those after gid ``at``."""
+        log, access = log.where(F.col("gid") > at), access.where(F.col("gid") > at)
+        _, parts, begun = self._begin(access, snapshot)
+        return self._run(log, parts, begun)
+
     def what_if(self, log: DataFrame, access: DataFrame, plan: Plan, snapshot: DataFrame | None = None, at: int = -1, final: DataFrame | None = None) -> Outcome:
         """The tables after the change. ``snapshot`` (name, row): the tables after
         gid ``at``, before the change; empty ones if it is missing. ``final``: the
         tables after the whole log; derived by a run of the log since then if it is
         missing. Only components that the change touches run again."""
-        start = self.spark.createDataFrame([], TABLES) if snapshot is None else snapshot.select("name", "row")
         log, access = log.where(F.col("gid") > at), access.where(F.col("gid") > at)
         extra = self._extra(access, plan.added)
         if extra:
             access = self._with_whole_tables(access.unionByName(self.spark.createDataFrame(extra, ACCESS)))
         access = cut(access)
-        scanned = self._scanned(access)
-        parts = cut(self.components(access, None if snapshot is None else start))
-        begun = start.withColumn("component", F.lit(None).cast("string")) if snapshot is None else self.placed(start, parts, scanned)
-        # a row that no key ties to the log stands apart, as in the original
+        scanned, parts, begun = self._begin(access, snapshot)
         if final is None:
-            lone = begun.where("component IS NULL").select("name", "row")
-            final = cut(self.state(log, parts, begun.where("component IS NOT NULL")).select("name", "row").unionByName(lone))
+            final = cut(self._run(log, parts, begun))
         changed = self._gids(plan.targets).union(self._gids(list(plan.added)))
         touched = cut(parts.join(changed.select(F.concat(F.lit("t:"), F.col("gid").cast("string")).alias("node")), "node", "left_semi").select("component").distinct())
         writes = access.where("rw = 'W'").select("gid").distinct()

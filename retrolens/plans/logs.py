@@ -530,12 +530,6 @@ for _name, _node, _sql in [
     _predicate(_name, _node, _sql)
 
 
-@query("c7_null_tests", "SELECT count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (v IS NOT NULL) AS there FROM (SELECT nullif(event_type, 'error') AS v FROM events)")
-def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.nullif("op", F.lit("error"))
-    return log(spark, sf_dir).agg(F.count(F.when(v.isNull(), 1)).alias("missing"), F.count(F.when(v.isNotNull(), 1)).alias("there"))
-
-
 ORDER_SPAN = "(SELECT o_orderkey, o_orderstatus AS s, o_orderkey * 10 AS lo, o_orderkey * 10 + o_custkey % 25 AS hi FROM orders)"
 
 
@@ -589,16 +583,6 @@ def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_spans(spark, sf_dir).select(F.floor(F.col("lo") / 100).alias("lo"), F.floor(F.col("hi") / 100).alias("hi")).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c17_projection", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def c17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-
-
-@query("c19_column_comparison", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
-def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") < F.col("o_orderdate"))).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("c20_full_scan_wildcard", f"WITH {POLICY_SQL} SELECT event_id AS gid, NOT bool_or(op IS NOT NULL AND rw = 'R') AS wildcard FROM events LEFT JOIN pol ON op = event_type GROUP BY 1")
 def c20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions without a read item read everything."""
@@ -622,9 +606,6 @@ def c22(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- D: read and write sets of statements ----
 
 _STATEMENTS: dict[str, tuple[access.Dml, list[tuple[str, str]]]] = {
-    "d1_select": (access.Dml("SELECT", "t", select=("a", "b"), group=("a",), having=("c",), where=("AND", [("=", "id", [1]), (">", "u.x", [2])]), sub=(access.Dml("SELECT", "s", select=("q",)),)), [("R", "s.q"), ("R", "t.a"), ("R", "t.b"), ("R", "t.c"), ("R", "t.id"), ("R", "u.x")]),
-    "d2_insert": (access.Dml("INSERT", "t", rows=({"id": 1, "a": 2}, {"id": 3, "a": 4})), [("W", "t.*"), ("W", "t.a"), ("W", "t.id")]),
-    "d3_update": (access.Dml("UPDATE", "t", sets={"a": ("b",), "c": ()}, where=("=", "id", [1])), [("R", "t.b"), ("R", "t.id"), ("W", "t.a"), ("W", "t.c")]),
     "d4_delete": (access.Dml("DELETE", "t", where=("<", "id", [5])), [("R", "t.id"), ("W", "t.*")]),
     "d6_replace": (access.Dml("REPLACE", "t", rows=({"id": 1},)), [("W", "t.*"), ("W", "t.id")]),
 }
@@ -769,14 +750,21 @@ def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(first, ["l_partkey", "l_suppkey"]).where("gid > f").select("gid").distinct()
 
 
-@query("f5_semi_join", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+@query("f5_semi_join", f"SELECT event_id AS gid, event_type AS op FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_id IN ({', '.join(map(str, TARGETS))}))")
 def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+    """Transactions in a cluster of the targets: gids probed in the clusters' members."""
+    base = accesses(spark, sf_dir)
+    hit = depend.only(base, TARGETS).select("key").distinct()
+    members = base.join(hit, "key", "left_semi")
+    return depend.only(log(spark, sf_dir), members).select("gid", "op")
 
 
-@query("f6_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("f6_anti_join", "SELECT user_id AS key, count(*) AS n FROM events WHERE event_id NOT IN (SELECT DISTINCT CAST(floor((k + 0.5) * n / m) AS BIGINT) FROM (SELECT count(*) AS n, CAST(floor(count(*) * 0.1 + 0.5) AS BIGINT) AS m FROM events), range(CAST((SELECT floor(count(*) * 0.1 + 0.5) FROM events) AS BIGINT)) r(k)) GROUP BY 1")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """The log without its rollback targets, a tenth of all gids as a table."""
+    base = log(spark, sf_dir)
+    targets = depend.spread_places(base.withColumn("place", F.col("gid")), base.count(), 0.1).select("gid")
+    return depend.without(base, targets).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f7_outer_joins", "SELECT how, n FROM (SELECT 'left' AS how, count(*) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'right', count(*) FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P' UNION ALL SELECT 'inner', count(*) FROM customer JOIN orders ON c_custkey = o_custkey)")

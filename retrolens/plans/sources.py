@@ -122,6 +122,16 @@ def j16c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tank_totals(w.what_if(calls, access, w.plan(access, TARGETS, {500: [ADDED]})).state)
 
 
+@query("j10_resumed_replay", f"WITH {CALL_SQL}, history AS (SELECT * FROM calls), {TANK_SQL}")
+def j10r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables stored after gid 499, and a replay of the rest of the log from them."""
+    w, calls, place = tank_engine(spark), tank_calls(spark, sf_dir), scratch(spark)
+    access = cut(w.analyse(calls))
+    early = F.col("gid") <= 499
+    full_state(w, calls.where(early), access.where(early)).write.parquet(place)
+    return tank_totals(w.resume(calls, access, spark.read.schema(engine.TABLES).parquet(place), 499))
+
+
 @query("j3_procedure_dependency", f"WITH {CALL_SQL}, {AFTER_SQL} SELECT gid FROM kept JOIN hit USING (key) WHERE gid > since")
 def j3p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the targets, later calls for their tanks run again."""
@@ -156,6 +166,69 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.join(called, "name")
 
 
+# ---- statements made of the tables' rows, analysed ----
+
+
+def _text(*parts: str) -> Any:
+    """A statement; ``:name`` stands for a column's value."""
+    return F.concat(*[F.col(p[1:]).cast("string") if p.startswith(":") else F.lit(p) for p in parts])
+
+
+def _expected(source: str, found: list[tuple[str, str, str, str, str]]) -> str:
+    """SQL of what an analysis gives: rows (rw, what, column, n, points), numbers in terms of the table's count n."""
+    rows_ = " UNION ALL ".join(f"SELECT '{rw}' AS rw, '{what}' AS what, '{c}' AS \"column\", CAST({n} AS BIGINT) AS n, CAST({points} AS BIGINT) AS points FROM c" for rw, what, c, n, points in found)
+    return f"WITH c AS (SELECT count(*) AS n, count(*) FILTER (k % 2 = 1) AS odd FROM (SELECT {source})) {rows_}"
+
+
+def _analysed(spark: SparkSession, rows_: DataFrame, key: str, columns: str, statement: Any) -> DataFrame:
+    w = engine.WhatIf(spark, config.loads('{"stateLog": {"name": "l"}, "keyColumns": ["' + columns + '"], "database": {"name": "d"}}', {}))
+    found = w.analyse(rows_.select(F.col(key).alias("gid"), F.lit(0).alias("q"), statement.alias("statement")))
+    return found.groupBy("rw", "what", "column").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("point").alias("points"))
+
+
+def _columns(rw: str, *names: str) -> list[tuple[str, str, str, str, str]]:
+    return [(rw, "column", c, "n", "0") for c in names]
+
+
+@query("d1_select", _expected("o_orderkey AS k FROM orders", [*_columns("R", "orders.o_custkey", "orders.o_orderkey", "orders.o_orderstatus", "orders.o_totalprice"), ("R", "item", "orders.o_orderkey", "n", "n")]))
+def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _text("SELECT o_orderstatus, o_totalprice + 1 AS more FROM orders WHERE o_orderkey = ", ":o_orderkey", " AND o_custkey > ", ":o_custkey")
+    return _analysed(spark, table(spark, sf_dir, "orders"), "o_orderkey", "orders.o_orderkey", text)
+
+
+@query("d2_insert", _expected("o_orderkey AS k FROM orders", [*_columns("W", "orders.*", "orders.o_custkey", "orders.o_orderkey"), ("W", "item", "orders.o_orderkey", "2 * n", "n + 1")]))
+def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tuples a statement, one of them with the same key in all."""
+    text = _text("INSERT INTO orders (o_orderkey, o_custkey) VALUES (", ":o_orderkey", ", 1), (-1, ", ":o_custkey", ")")
+    return _analysed(spark, table(spark, sf_dir, "orders"), "o_orderkey", "orders.o_orderkey", text)
+
+
+@query("d3_update", _expected("o_orderkey AS k FROM orders", [*_columns("R", "orders.o_orderkey", "orders.o_totalprice"), *_columns("W", "orders.o_orderstatus", "orders.o_totalprice"), ("R", "item", "orders.o_orderkey", "n", "n"), ("W", "item", "orders.o_orderkey", "n", "n")]))
+def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _text("UPDATE orders SET o_totalprice = o_totalprice + 2, o_orderstatus = 'X' WHERE o_orderkey = ", ":o_orderkey")
+    return _analysed(spark, table(spark, sf_dir, "orders"), "o_orderkey", "orders.o_orderkey", text)
+
+
+@query("c17_projection", _expected("s_suppkey AS k FROM supplier", [*_columns("R", "supplier.s_acctbal", "supplier.s_name", "supplier.s_nationkey", "supplier.s_suppkey"), ("R", "item", "supplier.s_suppkey", "n", "n")]))
+def c17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a SELECT list, also within calls and arithmetic."""
+    text = _text("SELECT s_acctbal * 2 AS twice, CONCAT(UPPER(s_name), s_nationkey) FROM supplier WHERE s_suppkey = ", ":s_suppkey")
+    return _analysed(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "supplier.s_suppkey", text)
+
+
+@query("c19_column_comparison", _expected("p_partkey AS k FROM part", [*_columns("R", "part.p_partkey", "part.p_size"), *_columns("W", "part.p_name"), ("R", "item", "part.p_partkey", "n", "0"), ("W", "item", "part.p_partkey", "n", "0")]))
+def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key compared with a column is the wildcard: no point."""
+    return _analysed(spark, table(spark, sf_dir, "part"), "p_partkey", "part.p_partkey", _text("UPDATE part SET p_name = '", ":p_partkey", "' WHERE p_partkey = p_size"))
+
+
+@query("c7_null_tests", _expected("p_partkey AS k FROM part", [*_columns("R", "part.p_name", "part.p_partkey"), ("R", "item", "part.p_partkey", "n", "odd")]))
+def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null test alone is the wildcard; beside a point it adds nothing."""
+    text = F.when(F.col("p_partkey") % 2 == 1, _text("SELECT p_name FROM part WHERE p_partkey IS NOT NULL AND p_partkey = ", ":p_partkey")).otherwise(F.lit("SELECT p_name FROM part WHERE p_partkey IS NULL"))
+    return _analysed(spark, table(spark, sf_dir, "part"), "p_partkey", "part.p_partkey", text)
+
+
 @query("a13_plan_load", f"{DECIDE_SQL} SELECT gid, 'replay' AS what FROM plan WHERE replay UNION ALL SELECT unnest([11, 500])::BIGINT, 'rollback'")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = scratch(spark)

@@ -435,3 +435,60 @@ def h22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 assert QUERIES
+
+
+# ---- queries on parts and suppliers: what each supplier sold of each part stands in for its offer ----
+
+PS_SQL = "ps AS (SELECT l_partkey AS pk, l_suppkey AS sk, min(CAST(floor(l_extendedprice * 100) AS BIGINT)) AS cost, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS avail FROM lineitem GROUP BY 1, 2)"
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pk, sk, cost, avail)."""
+    cost = F.floor(C("l_extendedprice") * 100).cast("long")
+    return table(spark, sf_dir, "lineitem").groupBy(C("l_partkey").alias("pk"), C("l_suppkey").alias("sk")).agg(F.min(cost).alias("cost"), F.sum(C("l_quantity").cast("long")).alias("avail"))
+
+
+def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with their nation and region."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return s.join(n, C("s_nationkey") == C("n_nationkey"))
+
+
+@query("l7_tpch02", f"WITH {PS_SQL}, o AS (SELECT * FROM ps JOIN supplier ON s_suppkey = sk JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = pk WHERE n_regionkey = 2 AND p_size < 20) SELECT s_name, n_name, pk, cost FROM o WHERE cost = (SELECT min(cost) FROM o i WHERE i.pk = o.pk)")
+def h02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = offers(spark, sf_dir).join(sellers(spark, sf_dir).where("n_regionkey = 2"), C("sk") == C("s_suppkey"))
+    o = o.join(table(spark, sf_dir, "part").where("p_size < 20").select("p_partkey"), C("pk") == C("p_partkey"))
+    return o.join(o.groupBy("pk").agg(F.min("cost").alias("cost")), ["pk", "cost"]).select("s_name", "n_name", "pk", "cost")
+
+
+@query("l7_tpch09", f"WITH {PS_SQL} SELECT n_name, year(o_orderdate) AS y, CAST(sum(CAST(floor(l_extendedprice * 100) AS BIGINT) - cost) AS BIGINT) AS profit FROM lineitem JOIN ps ON pk = l_partkey AND sk = l_suppkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size % 3 = 0 GROUP BY ALL")
+def h09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size % 3 = 0").select("p_partkey"), C("l_partkey") == C("p_partkey"))
+    li = li.join(offers(spark, sf_dir), (C("pk") == C("l_partkey")) & (C("sk") == C("l_suppkey"))).join(sellers(spark, sf_dir), C("l_suppkey") == C("s_suppkey"))
+    li = li.join(table(spark, sf_dir, "orders"), C("l_orderkey") == C("o_orderkey"))
+    return li.groupBy("n_name", F.year("o_orderdate").cast("long").alias("y")).agg(F.sum(F.floor(C("l_extendedprice") * 100).cast("long") - C("cost")).alias("profit"))
+
+
+@query("l7_tpch11", f"WITH {PS_SQL}, v AS (SELECT pk, CAST(sum(cost * avail) AS BIGINT) AS worth FROM ps JOIN supplier ON s_suppkey = sk WHERE s_nationkey < 5 GROUP BY 1) SELECT pk, worth FROM v WHERE worth * 1000 > (SELECT sum(worth) FROM v)")
+def h11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = offers(spark, sf_dir).join(table(spark, sf_dir, "supplier").where("s_nationkey < 5"), C("sk") == C("s_suppkey")).groupBy("pk").agg(F.sum(C("cost") * C("avail")).alias("worth"))
+    # one row
+    return v.join(F.broadcast(v.agg(F.sum("worth").alias("whole")))).where(C("worth") * 1000 > C("whole")).select("pk", "worth")
+
+
+@query("l7_tpch20", f"WITH {PS_SQL}, u AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS used FROM lineitem WHERE year(l_shipdate) % 2 = 0 GROUP BY ALL) SELECT s_name FROM supplier WHERE s_nationkey % 2 = 0 AND s_suppkey IN (SELECT sk FROM ps JOIN u ON l_partkey = pk AND l_suppkey = sk JOIN part ON p_partkey = pk WHERE p_size < 10 AND avail > 1.5 * used)")
+def h20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "lineitem").where("year(l_shipdate) % 2 = 0").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("used"))
+    some = offers(spark, sf_dir).join(used, (C("pk") == C("l_partkey")) & (C("sk") == C("l_suppkey"))).where(C("avail") > 1.5 * C("used"))
+    some = some.join(table(spark, sf_dir, "part").where("p_size < 10"), C("pk") == C("p_partkey"), "left_semi")
+    return table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").join(some, C("s_suppkey") == C("sk"), "left_semi").select("s_name")
+
+
+@query("l7_tpch21", "WITH l AS (SELECT l_orderkey, l_suppkey, bool_or(l_shipdate > o_orderdate + INTERVAL 60 DAY) AS late FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) SELECT s_name, count(*) AS waits FROM l JOIN supplier ON s_suppkey = l_suppkey WHERE late AND EXISTS (SELECT 1 FROM l o WHERE o.l_orderkey = l.l_orderkey AND o.l_suppkey <> l.l_suppkey) AND NOT EXISTS (SELECT 1 FROM l o WHERE o.l_orderkey = l.l_orderkey AND o.l_suppkey <> l.l_suppkey AND o.late) GROUP BY 1")
+def h21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two counts an order tell whether others took part, and whether others were late."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), C("l_orderkey") == C("o_orderkey"))
+    one = li.groupBy("l_orderkey", "l_suppkey").agg(F.bool_or(C("l_shipdate") > C("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("late"))
+    orders_ = one.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("sellers"), F.count(F.when(C("late"), 1)).alias("delayed"), F.min(F.when(C("late"), C("l_suppkey"))).alias("s"))
+    alone = orders_.where("sellers > 1 AND delayed = 1").join(table(spark, sf_dir, "supplier"), C("s") == C("s_suppkey"))
+    return alone.groupBy("s_name").agg(F.count(F.lit(1)).alias("waits"))
