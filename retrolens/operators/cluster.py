@@ -14,13 +14,15 @@ def point_clusters(items: DataFrame) -> DataFrame:
     return items.groupBy("column", "value", "rw").agg(F.count(F.lit(1)).alias("n"), F.min("gid").alias("first_gid"), F.max("gid").alias("last_gid"))
 
 
-def interval_clusters(items: DataFrame, parts: int = 0) -> DataFrame:
+def interval_clusters(items: DataFrame, parts: int | None = None) -> DataFrame:
     """``items`` (gid, rw, column, lo, hi, lo_closed, hi_closed) with the cluster
     they merge into by overlap. Equal intervals are found together first; the
-    log itself is joined back by its interval. With ``parts``, keys are dealt by
-    range over that many tasks."""
+    log itself is joined back by its interval. Keys are dealt by range over
+    ``parts`` tasks (the session's shuffle partitions by default; 0: a task a key,
+    where keys are known to be small)."""
     shape = ["column", "lo", "hi", "lo_closed", "hi_closed"]
     distinct = items.select(*shape).distinct()
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) if parts is None else parts
     marked = (islands_dealt(distinct, ["column"], parts) if parts else islands(distinct, ["column"])).withColumnRenamed("island", "cluster")
     a = items.alias("a")
     b = marked.alias("b")

@@ -7,7 +7,7 @@ needs no order, so partial sums are combined before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import before
@@ -47,10 +47,11 @@ def hash_jump(original: DataFrame, changed: DataFrame, by: str, first: int) -> D
     """(gid): the first gid from ``first`` on from which the tables' digests in
     both timelines (by, gid, digest of every write since the change) are equal
     for good; no row if they never meet again."""
-    w = Window.partitionBy(by).orderBy("gid").rowsBetween(Window.unboundedPreceding, 0)
     both = original.select(by, "gid", F.col("digest").alias("o"), F.lit(None).cast("decimal(38,0)").alias("c")).unionByName(changed.select(by, "gid", F.lit(None).cast("decimal(38,0)").alias("o"), F.col("digest").alias("c")))
     both = both.groupBy(by, "gid").agg(F.max("o").alias("o"), F.max("c").alias("c"))
-    both = both.withColumns({"o": F.last("o", ignorenulls=True).over(w), "c": F.last("c", ignorenulls=True).over(w)}).where(F.col("gid") >= first)
+    # a table's writes are dealt over tasks; only what a stretch hands on is carried over
+    both = before(both, [by], ["gid"], {"_o": ("last", F.col("o")), "_c": ("last", F.col("c"))})
+    both = both.select(by, "gid", F.coalesce("o", "_o").alias("o"), F.coalesce("c", "_c").alias("c")).where(F.col("gid") >= first)
     last_apart = F.max(F.when(~F.col("o").eqNullSafe(F.col("c")), F.col("gid")))
     per_table = both.groupBy(by).agg(last_apart.alias("apart"), F.max("gid").alias("last"))
     ends = per_table.agg(F.max("apart").alias("apart"), F.bool_or(F.col("apart").eqNullSafe(F.col("last"))).alias("never"))
