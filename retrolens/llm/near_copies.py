@@ -54,6 +54,8 @@ SEGMENTS, PLACES = 12, 6
 HOT_ENTRY = 64
 #: Buckets by which shingles' occurrences are counted, to put them in order.
 OFTEN = 1 << 16
+#: Sets that one task counts the shingles of, about: it hands on OFTEN numbers.
+SETS_A_TASK = 20_000
 #: Members of an entry that all others are verified against at first.
 LEADERS = 4
 
@@ -177,6 +179,15 @@ def _pairs(shared: DataFrame) -> DataFrame:
     return shared.select("entry", F.col("node").alias("a"), "size", "c").join(other, "entry").where("c < c_b").select("a", "size", "b", "size_b")
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each bucket."""
+    counts = np.zeros(OFTEN, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column(0).flatten().to_numpy() & (OFTEN - 1), minlength=OFTEN)
+    held = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bucket", "n"])
+
+
 def _prefixes(often: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each set (node, c, shingles), the shingles of which similar sets share
     one: its first, in an order by how often a shingle's bucket occurs."""
@@ -200,8 +211,9 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of ``crowd`` (node, c) from different components that may link: they
     share one of their rarest shingles, at places that leave enough others."""
     whole = cut(crowd.join(sets, "node").select("node", "c", "shingles"))
-    shingle = whole.select(F.explode("shingles").alias("shingle"))
-    got = shingle.groupBy(F.col("shingle").bitwiseAND(F.lit(OFTEN - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # OFTEN rows at most
+    parts = -(-whole.count() // SETS_A_TASK) or 1
+    found = whole.select("shingles").coalesce(parts).mapInArrow(_bucket_counts, "bucket long, n long")
+    got = found.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # OFTEN rows at most
     counts = np.zeros(OFTEN, np.int64)
     counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     often = crowd.sparkSession.sparkContext.broadcast(counts.tobytes())
