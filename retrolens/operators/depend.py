@@ -122,17 +122,25 @@ def decide(log: DataFrame, keyed: DataFrame, matched: DataFrame, taint: dict[str
     return df.select("gid", "column_dependent", "has_key", "row_match", replay.alias("replay"), taints.alias("taints"))
 
 
-def spread_places(ranked: DataFrame, total: int, ratio: float, place: str = "place") -> DataFrame:
-    """Rows of ``ranked`` (column ``place``: 0 .. total - 1) at evenly spaced places:
-    m of them, the k-th at floor((k + 0.5) * total / m). Each row tells by itself,
-    in whole numbers, whether some k has its place."""
+def spread_count(total: int, ratio: float, least: int = 1) -> int:
+    """How many of ``total`` places a share takes, ``least`` at least; of no rows
+    or for no share none."""
     ratio = min(1.0, max(0.0, ratio))
-    m = min(total, max(1, int(total * ratio + 0.5))) if total and ratio else 0
+    return min(total, max(least, int(total * ratio + 0.5))) if total and ratio else 0
+
+
+def spread_places(ranked: DataFrame, total: int, ratio: float, place: str = "place", least: int = 1) -> DataFrame:
+    """Rows of ``ranked`` (column ``place``: 0 .. total - 1; others are left out) at
+    evenly spaced places: m of them, the k-th at floor((k + 0.5) * total / m). Each
+    row tells by itself, in whole numbers, whether some k has its place."""
+    m = spread_count(total, ratio, least)
     if not m:
         return ranked.where("false")
-    # how many of the places lie before a given one
-    before = lambda at: F.floor((at.cast("decimal(38,0)") * (2 * m) + F.lit(total - 1)).cast("decimal(38,0)") / F.lit(2 * total).cast("decimal(20,0)"))
-    return ranked.where(before(F.col(place) + 1) > before(F.col(place)))
+    # (2 * m * place + total - 1) / (2 * total), rounded down, counts the places before a given one. A step on, it
+    # grows if the remainder overflows. No quotient is taken: a decimal one is rounded at its sixth digit.
+    at = F.col(place).cast("decimal(20,0)")
+    rest = (at * F.lit(2 * m) + F.lit(total - 1)) % F.lit(2 * total)
+    return ranked.where((at >= 0) & (at < F.lit(total)) & (rest >= F.lit(2 * (total - m))))
 
 
 def only(rows: DataFrame, gids: list[int] | DataFrame) -> DataFrame:
