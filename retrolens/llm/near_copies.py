@@ -17,10 +17,18 @@ texts share a share equal to their similarity.
 ``SEGMENTS`` segments of ``PLACES`` values each are cut; each segment is indexed
 under its ``PLACES`` variants with one value left out, so texts meet if some
 segment differs in at most one value. At 0.8 no segment does so with probability
-(1 - 0.8 ** 6 - 6 * 0.2 * 0.8 ** 5) ** 12, 3 in a million; less above. Every
+(1 - 0.8 ** 6 - 6 * 0.2 * 0.8 ** 5) ** 12, 3 in a million; less above. Of each
+value 16 mixed bits are kept: equal values stay equal, and of others one in 65,536
+is taken for equal, which adds candidates and loses none. Every
 candidate is verified on the whole shingle sets, so no pair below the limit
 links. Texts with one set count once.
 
+Entries are made from the sketches whenever they are needed. They are counted
+first; of the others' rows, nearly all are then left out by a bit filter of the
+entries that several sets share, before anything is joined. The filter takes 32 MB at
+most (``FILTER_BITS``); beyond some 100 million such entries it leaves out ever
+less, and the join is as right without it.
+
 Only components are wanted, so an entry isn't expanded into pairs at first: its
 members are verified against ``LEADERS`` of them. Entries whose members are one component
 by then are done. In the others, members of different components are verified
@@ -42,10 +50,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, byte_words, chunks, cut, few, look_up, mix, row_id, span_hashes
+from .common import BYTE_VALUE, FEW_ROWS, byte_words, chunks, cut, few, look_up, mix, row_id, span_hashes
 from .simhash import connected, keep_first
 
 WORDS, LEAST_PERCENT = 5, 80
@@ -58,6 +67,12 @@ OFTEN = 1 << 16
 SETS_A_TASK = 20_000
 #: Members of an entry that all others are verified against at first.
 LEADERS = 4
+#: Size of the filter of shared entries: bits for an entry, the most in all (as a power of two), and in a row of its table.
+ENTRY_BITS, FILTER_BITS, PAGE_BITS = 16, 28, 15
+#: Bits that stand for a set's shingles before it is verified.
+MARKS = 4096
+#: Sketches whose entries are made at once.
+SKETCHES = 4096
 
 _SEEDS = mix(np.arange(1, 2 * SEGMENTS * PLACES + 1, dtype=np.uint64))
 _FACTORS, _SHIFTS = _SEEDS[: SEGMENTS * PLACES] | np.uint64(1), _SEEDS[SEGMENTS * PLACES :]
@@ -93,13 +108,20 @@ def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return mix(sums + np.array([len(x) for x in sets], dtype=np.uint64)).view(np.int64)
 
 
-def variants(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of entries for each set: every segment with each of its values left
-    out. No set may be empty."""
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of MinHash values, 16 mixed bits of each, for each set. No set may be empty."""
     flat, at = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]])
-    entries = np.empty((len(sets), SEGMENTS * PLACES), np.uint64)
+    values = np.empty((len(sets), SEGMENTS * PLACES), np.uint16)
+    for i in range(SEGMENTS * PLACES):
+        values[:, i] = mix(np.minimum.reduceat(flat * _FACTORS[i] + _SHIFTS[i], at)) & np.uint64(0xFFFF)
+    return values
+
+
+def variants(values: np.ndarray) -> np.ndarray:
+    """A row of entries for each sketch: every segment with each of its values left out."""
+    entries = np.empty(values.shape, np.uint64)
     for s in range(SEGMENTS):
-        terms = [np.minimum.reduceat(flat * _FACTORS[i] + _SHIFTS[i], at) * _VALUE_PLACES[k] for k, i in enumerate(range(s * PLACES, (s + 1) * PLACES))]
+        terms = [values[:, s * PLACES + k].astype(np.uint64) * _VALUE_PLACES[k] for k in range(PLACES)]
         whole = np.sum(terms, axis=0, dtype=np.uint64)
         for k, term in enumerate(terms):
             entries[:, s * PLACES + k] = mix(whole - term + np.uint64(s * PLACES + k))
@@ -121,28 +143,118 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for s, e, sets in _runs(batch, 1):
             full = [x for x in sets if len(x)]
-            found = iter(variants(full) if full else ())
-            entries = _lists([next(found) if len(x) else np.empty(0, np.int64) for x in sets])
-            cols = [batch.column(0)[s:e], batch.column(2)[s:e], pa.array(_set_hashes(sets)), pa.array([len(x) for x in sets], pa.int64()), entries]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "entries"])
+            found = iter(sketches(full) if full else ())
+            held = pa.array([next(found).tobytes() if len(x) else b"" for x in sets], pa.binary())
+            cols = [batch.column(0)[s:e], batch.column(2)[s:e], pa.array(_set_hashes(sets)), pa.array([len(x) for x in sets], pa.int64()), held]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "sketch"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches (node, size, sketch), less the empty sets, with their entries."""
+    for batch in batches:
+        full = batch.filter(pc.greater(pc.binary_length(batch.column(2)), 0))
+        for at in range(0, full.num_rows, SKETCHES):
+            part = full.slice(at, SKETCHES)
+            values = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16)
+            yield part, variants(values.reshape(-1, SEGMENTS * PLACES))
+
+
+def _entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, entries in _entries(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(entries.ravel())], names=["entry"])
+
+
+def _likely(held: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (node, size, entry) of the entries that the broadcast filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for part, entries in _entries(batches):
+            hit = np.ones(entries.shape, bool)
+            for shift in (0, 32):
+                at = (entries >> shift) & (8 * len(bits) - 1)
+                hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            of = pa.array(np.nonzero(hit)[0])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(entries[hit])], names=["node", "size", "entry"])
+
+    return run
+
+
+def _filter(entries: DataFrame, n: int) -> bytes:
+    """A bit filter of ``n`` distinct ``entries``, two bits each. It is put together
+    page by page, so the driver gets as many bytes as it has."""
+    power = max(PAGE_BITS, min(FILTER_BITS, (max(1, n) * ENTRY_BITS - 1).bit_length()))
+    bit = F.explode(F.array(*[F.shiftright("entry", shift).bitwiseAND(F.lit((1 << power) - 1)) for shift in (0, 32)]))
+    paged = entries.select(bit.alias("bit")).select(F.shiftright("bit", PAGE_BITS).alias("page"), F.col("bit").bitwiseAND(F.lit((1 << PAGE_BITS) - 1)).alias("place"))
+    got = paged.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("place").alias("bits")).toArrow()
+    out = bytearray(1 << (power - 3))
+    size = 1 << (PAGE_BITS - 3)
+    for page, bits in zip(got.column("page").to_pylist(), got.column("bits").to_pylist()):
+        out[page * size : (page + 1) * size] = bits
+    return bytes(out)
+
+
+def _marks(shingles: np.ndarray) -> bytes:
+    """MARKS bits, those set that some shingle falls on."""
+    held = np.zeros(MARKS, bool)
+    held[shingles & np.uint64(MARKS - 1)] = True
+    return np.packbits(held).tobytes()
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, n_a, marks_a, n_b, marks_b) that may link: a bit of one set
+    that the other lacks stands for a shingle, at least, that it lacks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SKETCHES):
+            part = batch.slice(at, SKETCHES)
+            x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint64).reshape(part.num_rows, -1) for k in (3, 5))
+            n_a, n_b = part.column(2).to_numpy(), part.column(4).to_numpy()
+            alone_a, alone_b = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x & ~y, y & ~x))
+            common = np.minimum(n_a - alone_a, n_b - alone_b)
+            links = pa.array(common * 100 >= (n_a + n_b - common) * LEAST_PERCENT)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(links), part.column(1).filter(links)], names=["a", "b"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of (node, body), each node once in a task."""
+    seen: set[int] = set()
     for batch in batches:
+        nodes, fresh = batch.column(0).to_pylist(), []
+        for i, node in enumerate(nodes):
+            if node not in seen:
+                seen.add(node)
+                fresh.append(i)
+        batch = batch.take(pa.array(fresh, pa.int64()))
         for s, e, sets in _runs(batch, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], _lists(sets)], names=["node", "shingles"])
+            marks = pa.array([_marks(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], pa.array([len(x) for x in sets], pa.int64()), marks, _lists(sets)], names=["node", "n", "marks", "shingles"])
 
 
 def _sets(nodes: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, shingles) of distinct ``nodes``."""
+    """(node, n, marks, shingles) of distinct ``nodes``. Sets are shuffled only where whole
+    rows, id and text, are repeated."""
     wanted = cut(nodes.join(distinct, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")))
     texts = rows.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "body")
-    return cut(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]))
+    made = cut(texts.mapInArrow(_set_batches, "node long, n long, marks binary, shingles array<long>"))
+    if made.count() == wanted.count():
+        return made
+    again = few(cut(made.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")))
+    once = made.join(again, "node", "left_semi").dropDuplicates(["node"])
+    return cut(made.join(again, "node", "left_anti").unionByName(once))
+
+
+def _named(pairs: DataFrame, sets: DataFrame, n: str) -> DataFrame:
+    """``sets``, of which those that column ``n`` of ``pairs`` doesn't name need not be there."""
+    names = cut(pairs.select(F.col(n).alias("node")).distinct())
+    return sets.join(F.broadcast(names), "node", "left_semi") if names.count() <= FEW_ROWS else sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(x)) for n, x in (("a", "x"), ("b", "y")))
+    """The pairs (a, b) that link. Whole sets are met only for those that their marks let pass."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("marks").alias(f"marks_{n}")) for n in ("a", "b"))
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "marks_a", "n_b", "marks_b")
+    pairs = cut(met.mapInArrow(_possible, "a long, b long"))
+    left, right = (_named(pairs, sets, n).select(F.col("node").alias(n), F.col("shingles").alias(x)) for n, x in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))
     links = common * 100 >= (F.size("x") + F.size("y") - common) * LEAST_PERCENT
     return cut(pairs.join(right, "b").join(left, "a").where(links).select("a", "b"))
@@ -229,9 +341,12 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _members(distinct: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches."""
-    entries = distinct.select("node", "size", F.explode("entries").alias("entry"))
-    counted = cut(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(look_up(entries, counted, ["entry"], "n", counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).withColumn("c", F.col("node")))
+    signs = distinct.select("node", "size", "sketch")
+    counted = cut(signs.mapInArrow(_entry_batches, "entry long").groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    keys, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    held = distinct.sparkSession.sparkContext.broadcast(_filter(counted, keys))
+    entries = signs.mapInArrow(_likely(held), "node long, size long, entry long")
+    shared = cut(look_up(entries, counted, ["entry"], "n", total).withColumn("c", F.col("node")))
     sets = _sets(shared.select("node").distinct(), rows, distinct)
     edges = _verified(_ordered(_stars(shared)), sets)
     member = cut(connected(edges))
@@ -250,10 +365,10 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: i
     """One row per input row: doc_id, mark (hash of the text), node (hash of the
     shingle set), component_id, component (the smallest node of the component)."""
     rows = docs.select(row_id(key).alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(text).alias("mark"))
-    signed = cut(rows.mapInArrow(_sign_batches, "doc_id long, mark long, node long, size long, entries array<long>"))
+    signed = cut(rows.mapInArrow(_sign_batches, "doc_id long, mark long, node long, size long, sketch binary"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")).alias("at")
-    distinct = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), least, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("entries").alias("entries")))
-    member = _members(distinct.select("node", "at", "size", "entries"), rows, hot)
+    distinct = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), least, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    member = _members(distinct.select("node", "at", "size", "sketch"), rows, hot)
     named = member.join(distinct, "node").select("node", "root", "first_id")
     named = named.join(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("node", "root", "least_id")
     class_of = cut(distinct.join(named, "node", "left").select("node", "n", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "node").alias("component")))

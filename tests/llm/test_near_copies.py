@@ -2,7 +2,10 @@
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from retrolens.llm import near_copies, simhash
@@ -110,3 +113,43 @@ def test_one_row_of_each_group(spark, operator):
     assert docs.columns == ["doc_id", "text", "component", "node"] == list(got[0].asDict())
     nodes = sorted(r.node for r in got)
     assert len(nodes) == 4 and nodes[0] in (1, 2) and nodes[1] in (4, 5) and nodes[2] in (6, 7) and nodes[3] == 9
+
+
+def test_marks_let_every_link_pass_and_few_others():
+    rows = loose_family(60, (0, 20), 8) + loose_family(20, (0, 3), 9) + [(0, "one"), (0, "two words"), (0, " ".join(f"v{i % 9000}" for i in range(30000)))]
+    plain = [plain_set(t) for _, t in rows]
+    sets = near_copies.shingle_sets([t.encode() for _, t in rows])
+    pairs = list(itertools.combinations(range(len(rows)), 2))
+    n, marks = [len(x) for x in sets], [near_copies._marks(x) for x in sets]
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "n_a": [n[a] for a, _ in pairs], "marks_a": [marks[a] for a, _ in pairs], "n_b": [n[b] for _, b in pairs], "marks_b": [marks[b] for _, b in pairs]})
+    met = {(r["a"], r["b"]) for out in near_copies._possible(iter([batch])) for r in out.to_pylist()}
+    near = {(a, b) for a, b in pairs if 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])}
+    assert near and near <= met and len(met) < 2 * len(near)
+
+
+def test_only_shared_entries_are_joined(spark, monkeypatch):
+    """Texts without a near copy stay out of the join of entries."""
+    rng, met = random.Random(4), []
+    rows = [(i, " ".join(f"w{rng.randrange(100000)}" for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:5]]
+    real = near_copies.look_up
+    monkeypatch.setattr(near_copies, "look_up", lambda r, t, on, *a: (met.append((r.count(), t.count())) if on == ["entry"] and not met else None, real(r, t, on, *a))[1])
+    got = near_copies.near_copies(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i % 1000) for i, _ in rows}
+    assert 0 < met[0][1] <= 5 * 72 and met[0][0] <= 4 * met[0][1] < 72 * len(rows) / 10
+
+
+def test_the_filter_holds_every_entry(spark):
+    rng = random.Random(6)
+    entries = [rng.getrandbits(64) - (1 << 63) for _ in range(9000)]
+    held = np.frombuffer(near_copies._filter(spark.createDataFrame([(e,) for e in entries], "entry long"), 9000), np.uint8)
+    at = np.array(entries)[:, None] >> np.array([0, 32]) & (8 * len(held) - 1)
+    assert (held[at >> 3] >> (at & 7) & 1).all() and np.bitwise_count(held).sum() <= 18000
+
+
+def test_repeated_rows_have_one_set(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base), "x")] * 30 + [(2, " ".join([*base[:50], "x", *base[51:]]), "x")] * 30 + [(3, "alone", "x")] * 3
+    docs = spark.createDataFrame(rows, DOC).repartition(8)
+    got = near_copies.near_copies(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 30, (2, 1): 30, (3, 3): 3}
