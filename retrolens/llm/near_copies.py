@@ -34,9 +34,16 @@ members are verified against ``LEADERS`` of them. Entries whose members are one
 by then are done. In the others, members of different components are verified
 pair by pair where the entry holds ``hot`` sets at most. The members of larger
 ones are taken together and joined by a prefix filter, which misses no pair: two
-sets of similarity t share one of the (1 - t) * size + 1 shingles that are rarest
-among them, at places that leave enough others to share; only pairs from
-different components are met there.
+sets of similarity t share a shingle that is, in an order from the rarest on, among
+the first (1 - t) / (1 + t) * size + 1 of the smaller set and the first
+(1 - t) * size + 1 of the larger, at places that leave enough others to share; only
+pairs from different components are met there.
+
+Loose copies of one text that don't link are still compared with each other, in
+an entry as in the prefix filter. Their rows bear ``PARITY`` bits, each the parity of
+the number of shingles that fall on it; two sets differ by as many shingles, at
+least, as bits, so pairs whose bits differ too much make no row. They tell little
+of sets of over 2 * ``PARITY`` shingles, whose pairs are left to the marks.
 
 Defined results: null and empty texts and texts of white space have the empty
 set and link to each other only; equal rows count as copies; a null id, or one
@@ -51,7 +58,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE, FEW_ROWS, byte_words, chunks, cut, few, look_up, mix, row_id, span_hashes
@@ -71,6 +78,8 @@ LEADERS = 4
 ENTRY_BITS, FILTER_BITS, PAGE_BITS = 16, 28, 15
 #: Bits that stand for a set's shingles before it is verified.
 MARKS = 4096
+#: Bits, a multiple of 64, by which pairs of an entry or of a shingle are bounded where they are met.
+PARITY = 512
 #: Sketches whose entries are made at once.
 SKETCHES = 4096
 
@@ -201,6 +210,25 @@ def _marks(shingles: np.ndarray) -> bytes:
     return np.packbits(held).tobytes()
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits as longs, those set that an odd number of shingles falls on."""
+    odd = np.bincount((shingles.view(np.uint64) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near() -> Column:
+    """Whether sets (size, parity) and (size_b, parity_b) may link: each bit in which
+    they differ stands for a shingle, at least, that one of them lacks."""
+    both = F.col("size") + F.col("size_b")
+    apart = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return _alike() & ((both - apart) * (100 + LEAST_PERCENT) >= both * (2 * LEAST_PERCENT))
+
+
+def _alike() -> Column:
+    """Whether the sizes allow the similarity."""
+    return F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * LEAST_PERCENT
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, n_a, marks_a, n_b, marks_b) that may link: a bit of one set
     that the other lacks stands for a shingle, at least, that it lacks."""
@@ -227,15 +255,16 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.take(pa.array(fresh, pa.int64()))
         for s, e, sets in _runs(batch, 1):
             marks = pa.array([_marks(x) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], pa.array([len(x) for x in sets], pa.int64()), marks, _lists(sets)], names=["node", "n", "marks", "shingles"])
+            cols = [batch.column(0)[s:e], pa.array([len(x) for x in sets], pa.int64()), marks, _lists([_parity(x) for x in sets]), _lists(sets)]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "marks", "parity", "shingles"])
 
 
 def _sets(nodes: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, n, marks, shingles) of distinct ``nodes``. Sets are shuffled only where whole
+    """(node, n, marks, parity, shingles) of distinct ``nodes``. Sets are shuffled only where whole
     rows, id and text, are repeated."""
     wanted = cut(nodes.join(distinct, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")))
     texts = rows.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "body")
-    made = cut(texts.mapInArrow(_set_batches, "node long, n long, marks binary, shingles array<long>"))
+    made = cut(texts.mapInArrow(_set_batches, "node long, n long, marks binary, parity array<long>, shingles array<long>"))
     if made.count() == wanted.count():
         return made
     again = few(cut(made.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")))
@@ -262,8 +291,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) once each, a < b, whose sizes allow the similarity."""
-    near = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * LEAST_PERCENT
-    return cut(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return cut(pairs.where(_alike()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _apart(shared: DataFrame, member: DataFrame) -> DataFrame:
@@ -285,10 +313,11 @@ def _stars(shared: DataFrame) -> DataFrame:
     return met.select("a", "size", F.explode("some").alias("x")).select("a", "size", "x.b", "x.size_b").where("a <> b")
 
 
-def _pairs(shared: DataFrame) -> DataFrame:
-    """All pairs of an entry from different components."""
-    other = shared.select("entry", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
-    return shared.select("entry", F.col("node").alias("a"), "size", "c").join(other, "entry").where("c < c_b").select("a", "size", "b", "size_b")
+def _pairs(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of an entry from different components that may link."""
+    held = cut(shared.join(sets.select("node", "parity"), "node").select("entry", "node", "size", "c", "parity"))
+    other = held.select("entry", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"), F.col("parity").alias("parity_b"))
+    return held.join(other, "entry").where((F.col("c") < F.col("c_b")) & _near()).select(F.col("node").alias("a"), "size", "b", "size_b")
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +342,9 @@ def _prefixes(often: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             first = [x[np.lexsort((x, counts[x & (OFTEN - 1)]))[:k]] for x, k in zip(sets, take)]
             of = np.repeat(np.arange(len(sets)), take)
             place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
-            cols = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(size[of]), pa.array(place), pa.array(np.concatenate(first) if first else np.empty(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "c", "size", "place", "shingle"])
+            parity = _lists([_parity(x) for x in sets] or [np.empty(0, np.int64)]).take(pa.array(of))
+            cols = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(size[of]), pa.array(place), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)), parity]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "c", "size", "place", "shingle", "parity"])
 
     return run
 
@@ -329,14 +359,18 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     counts = np.zeros(OFTEN, np.int64)
     counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     often = crowd.sparkSession.sparkContext.broadcast(counts.tobytes())
-    kept = cut(whole.mapInArrow(_prefixes(often), "node long, c long, size long, place long, shingle long"))
-    several = kept.groupBy("shingle").agg(F.min("c").alias("_least"), F.max("c").alias("_most")).where("_least < _most").select("shingle")
+    kept = cut(whole.mapInArrow(_prefixes(often), "node long, c long, size long, place long, shingle long, parity array<long>"))
+    # sets of similarity t share t / (1 + t) of their summed sizes; what lies before the places isn't shared
+    early = (F.col("size") - F.col("place")) * (100 + LEAST_PERCENT) >= F.col("size") * (2 * LEAST_PERCENT)
+    several = kept.groupBy("shingle").agg(F.min("c").alias("_least"), F.max("c").alias("_most"), F.max(early).alias("_early")).where("_least < _most and _early").select("shingle")
     kept = cut(kept.join(several, "shingle", "left_semi"))
-    other = kept.select("shingle", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    # of similarity t, sets share t / (1 + t) of their summed sizes; what lies before the places isn't shared
+    other = kept.select("shingle", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("parity").alias("parity_b"))
     room = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
     enough = room * (100 + LEAST_PERCENT) >= (F.col("size") + F.col("size_b")) * LEAST_PERCENT
-    return kept.join(other, "shingle").where((F.col("c") < F.col("c_b")) & enough).select(F.col("node").alias("a"), "size", "b", "size_b")
+    smaller = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("node") < F.col("b")))
+    met = kept.where(early).join(other, "shingle").where((F.col("c") != F.col("c_b")) & smaller & enough & _near())
+    first = F.col("node") < F.col("b")
+    return met.select(F.least("node", "b").alias("a"), F.when(first, F.col("size")).otherwise(F.col("size_b")).alias("size"), F.greatest("node", "b").alias("b"), F.when(first, F.col("size_b")).otherwise(F.col("size")).alias("size_b"))
 
 
 def _members(distinct: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
@@ -353,7 +387,7 @@ def _members(distinct: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
     shared = _apart(shared, member)
     if shared.isEmpty():
         return member
-    more = _pairs(shared.where(F.col("n") <= hot))
+    more = _pairs(shared.where(F.col("n") <= hot), sets)
     crowd = cut(shared.where(F.col("n") > hot).select("node", "c").distinct())
     if not crowd.isEmpty():
         more = more.unionByName(_prefix_pairs(crowd, sets))

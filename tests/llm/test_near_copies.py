@@ -153,3 +153,30 @@ def test_repeated_rows_have_one_set(spark):
     docs = spark.createDataFrame(rows, DOC).repartition(8)
     got = near_copies.near_copies(docs).collect()
     assert Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 30, (2, 1): 30, (3, 3): 3}
+
+
+def linked(plain):
+    return {(a, b) for a, b in itertools.combinations(range(len(plain)), 2) if 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])}
+
+
+def test_parities_let_every_link_pass_and_few_others(spark):
+    rows = loose_family(60, (0, 6), 8) + loose_family(30, (0, 3), 9) + [(0, "one"), (0, "two words"), (0, "two Words"), *((0, " ".join(f"v{i % 9000}" for i in range(k, 30000))) for k in (0, 900))]
+    sets = near_copies.shingle_sets([t.encode() for _, t in rows])
+    frame = spark.createDataFrame([(i, len(x), near_copies._parity(x).tolist()) for i, x in enumerate(sets)], "a long, size long, parity array<long>")
+    met = {(r.a, r.b) for r in frame.crossJoin(frame.toDF("b", "size_b", "parity_b")).where("a < b").where(near_copies._near()).collect()}
+    near = linked([plain_set(t) for _, t in rows])
+    assert {(91, 92), (93, 94)} <= near <= met and len(met) < 2 * len(near)
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_loose_copies_that_do_not_link_make_few_rows(spark, monkeypatch, hot):
+    """Over half of a family's 19,900 pairs don't link. Few of them make rows where members that
+    the leaders left apart meet: in entries, if none is hot, or by prefixes, if all are."""
+    made = []
+    for name in ("_pairs", "_prefix_pairs"):
+        real = getattr(near_copies, name)
+        monkeypatch.setattr(near_copies, name, lambda *a, real=real: (out := near_copies.cut(real(*a)), made.append({(min(r.a, r.b), max(r.a, r.b)) for r in out.collect()}))[0])
+    rows = loose_family(200, (0, 5), 12)
+    got = near_copies.near_copies(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC), hot=hot).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, c) for (i, _), c in zip(rows, plain_components(rows)))
+    assert 0 < sum(len(m) for m in made) < len(rows) / 2
