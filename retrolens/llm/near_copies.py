@@ -336,15 +336,16 @@ def _prefixes(often: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(often.value, np.int64)
         for batch in batches:
-            sets = [x.values.to_numpy() for x in batch.column(2)]
-            size = np.array([len(x) for x in sets], np.int64)
-            take = size + size * -LEAST_PERCENT // 100 + 1
-            first = [x[np.lexsort((x, counts[x & (OFTEN - 1)]))[:k]] for x, k in zip(sets, take)]
-            of = np.repeat(np.arange(len(sets)), take)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
-            parity = _lists([_parity(x) for x in sets] or [np.empty(0, np.int64)]).take(pa.array(of))
-            cols = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(size[of]), pa.array(place), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)), parity]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "c", "size", "place", "shingle", "parity"])
+            whole = [x.values.to_numpy() for x in batch.column(2)]
+            for s, e in chunks(np.array([x.nbytes for x in whole], np.int64)):
+                sets = whole[s:e]
+                size = np.array([len(x) for x in sets], np.int64)
+                take = size + size * -LEAST_PERCENT // 100 + 1
+                first = [x[np.lexsort((x, counts[x & (OFTEN - 1)]))[:k]] for x, k in zip(sets, take)]
+                of = np.repeat(np.arange(len(sets)), take)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
+                node, c, parity = (x.take(pa.array(of)) for x in (batch.column(0)[s:e], batch.column(1)[s:e], _lists([_parity(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([node, c, pa.array(size[of]), pa.array(place), pa.array(np.concatenate(first)), parity], names=["node", "c", "size", "place", "shingle", "parity"])
 
     return run
 
